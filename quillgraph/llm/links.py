@@ -1,10 +1,11 @@
 """Connected groups from bucketed candidates, without expanding a bucket into all its pairs.
 
 A *bucket* is a value that similar items are likely to share (an LSH band, a pigeonhole block). The items of
-one bucket are first compared with the bucket's smallest item only, so a bucket of n items costs n - 1
-comparisons. Buckets whose items then still lie in different groups are finished by comparing exactly those
-pairs whose groups differ. Every pair of a bucket is therefore either compared or already known to be connected, so
-no link between different groups is lost, whatever a bucket's size.
+one bucket are first compared with the bucket's smallest item, its pivot, only: a bucket of n items costs n - 1
+comparisons. Where items of one pivot still lie in different groups, the pairs whose groups differ are tested
+inside a join against a bound that every link meets, and only those within it are compared. Every pair of a bucket
+is therefore compared, excluded by the bound or known to be connected already: no link between groups is lost,
+whatever a bucket's size, and rows stay in proportion to the links rather than to the pairs.
 """
 
 from __future__ import annotations
@@ -44,33 +45,30 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return pairs.select(F.col("a").alias("id"), F.col("b").alias("component")).union(pairs.select("b", "b").distinct())
 
 
-def linked_groups(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], closer: str = "true", extra: tuple[str, ...] = ()) -> DataFrame:
-    """``buckets(bucket, id, *extra)`` -> ``(id, component)`` of the items that have a verified link.
+def linked_groups(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], profile: Callable[[DataFrame], DataFrame], closer: str) -> DataFrame:
+    """``buckets(bucket, id)`` -> ``(id, component)`` of the items that have a verified link.
 
-    ``verify`` takes distinct candidate pairs ``(a, b)`` and returns those that are links. ``closer`` is an SQL
-    condition over the extra columns of both sides (``x_`` and ``y_`` prefixed) that every link meets; it prunes
-    the second pass inside the join. ``buckets`` is evaluated twice and should be cheap to derive.
+    ``verify`` takes distinct candidate pairs ``(a, b)`` and returns those that are links. ``profile`` takes
+    ``(pivot, id, component)`` and adds columns; ``closer`` is an SQL condition over the columns of two items of one
+    pivot (``x_`` and ``y_`` prefixed) that every link meets, and is tested inside the join of the second pass. ``buckets``
+    is evaluated twice and should be cheap to derive.
     """
     first = materialize(buckets.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("n > 1 and lo <> hi"))
     crowded = first.where("n > 2").select("bucket", "lo")
-    members = materialize(buckets.join(crowded, "bucket"))
-    stars = first.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).union(members.where("id <> lo").select("lo", "id")).distinct()
+    members = buckets.select("bucket", "id").join(crowded, "bucket").where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b"))
+    stars = materialize(first.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).union(members).distinct())
     edges = materialize(verify(stars).select("a", "b"))
     groups = connected_components(edges)
 
-    placed = members.drop("lo").distinct().join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    split = placed.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("bucket")
-    rest = materialize(placed.join(split, "bucket"))
+    placed = stars.select(F.col("a").alias("pivot"), F.col("b").alias("id")).join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    split = placed.groupBy("pivot").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("pivot")
+    rest = materialize(placed.join(split, "pivot").select("pivot", "id", "component"))
     if rest.isEmpty():
         return groups
-    x = rest.select("bucket", *(F.col(c).alias(f"x_{c}") for c in ("id", "component", *extra)))
-    y = rest.select("bucket", *(F.col(c).alias(f"y_{c}") for c in ("id", "component", *extra)))
-    more = x.join(y, "bucket").where("x_component < y_component").where(closer).select(F.col("x_id").alias("a"), F.col("y_id").alias("b"))
-    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars_of(first, members), ["a", "b"], "left_anti")
+    rest = materialize(profile(rest))
+    x = rest.select("pivot", *(F.col(c).alias(f"x_{c}") for c in rest.columns if c != "pivot"))
+    y = rest.select("pivot", *(F.col(c).alias(f"y_{c}") for c in rest.columns if c != "pivot"))
+    more = x.join(y, "pivot").where("x_component < y_component").where(closer)
+    more = more.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
     found = materialize(verify(more).select("a", "b"))
     return groups if found.isEmpty() else connected_components(edges.union(found))
-
-
-def stars_of(first: DataFrame, members: DataFrame) -> DataFrame:
-    """The pairs the first pass has compared already."""
-    return first.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).union(members.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b"))).distinct()

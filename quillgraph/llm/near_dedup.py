@@ -103,10 +103,37 @@ def _likely(frames: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.Dat
 
 
 def _bands(sketches: DataFrame, bands: int, rows: int) -> DataFrame:
-    """``(bucket, id, n)``: one 64-bit value of each band of each distinct set."""
+    """``(bucket, id)``: one 64-bit value of each band of each distinct set."""
     width = 2 * rows
     cells = F.array(*(F.xxhash64(F.lit(i), F.substring("regs", i * width + 1, width)) for i in range(bands)))
-    return sketches.select(F.col("fp").alias("id"), F.col("n_shingles").alias("n"), F.explode(cells).alias("bucket"))
+    return sketches.select(F.col("fp").alias("id"), F.explode(cells).alias("bucket"))
+
+
+PROFILE = "pivot long, id long, component long, n int, own array<long>, extra int, held array<long>"
+
+#: The most elements that two sets of one pivot can share: those of the pivot that both hold, counted exactly, and at most so
+#: many of the others as their hashed bits allow (a bit that only one set has stands for an element the other lacks).
+SHARED = """
+aggregate(zip_with(x_own, y_own, (p, q) -> bit_count(p & q)), 0, (s, v) -> s + v)
++ least(x_extra - aggregate(zip_with(x_held, y_held, (p, q) -> bit_count(p & ~q)), 0, (s, v) -> s + v),
+        y_extra - aggregate(zip_with(y_held, x_held, (p, q) -> bit_count(p & ~q)), 0, (s, v) -> s + v))"""
+
+
+def _bits(flags: np.ndarray) -> list[int]:
+    return np.packbits(np.pad(flags, (0, -len(flags) % 64))).view(np.int64).tolist()
+
+
+def _profiles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each set against its pivot's: which of the pivot's elements it holds, and hashed bits of its others."""
+    for f in frames:
+        rows = []
+        for r in f.itertuples():
+            pivot, own = np.asarray(r.pivot_set), np.asarray(r.own_set)
+            extra = np.setdiff1d(own, pivot, assume_unique=True)
+            held = np.zeros(4 * len(pivot) + 64, bool)
+            held[mix(extra.view(np.uint64)) % np.uint64(len(held))] = True
+            rows.append((r.pivot, r.id, r.component, len(own), _bits(np.isin(pivot, own, assume_unique=True)), len(extra), _bits(held)))
+        yield pd.DataFrame(rows, columns=["pivot", "id", "component", "n", "own", "extra", "held"])
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -125,23 +152,34 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     sketches = materialize(docs.mapInArrow(partial(_sketch, size=shingle_words, m=bands * rows), SKETCH))
     nodes = materialize(sketches.where("n_shingles > 0").groupBy("fp", "fp2", "n_shingles").agg(F.min("doc_id").alias("low"), F.first("regs").alias("regs")))
 
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """``(fp, shingles)`` of some nodes, from the texts again: most nodes never need theirs."""
+        wanted = wanted.distinct()
+        ids = nodes.join(wanted, "fp", "left_semi").select(F.col("low").alias("id")).distinct()
+        texts = docs.join(ids, docs.doc_id.eqNullSafe(ids.id), "left_semi").select("text")
+        sets = texts.mapInArrow(partial(_sets, size=shingle_words), "fp long, shingles array<long>")
+        return materialize(sets.join(wanted, "fp", "left_semi").dropDuplicates(["fp"]))
+
     def verify(pairs: DataFrame) -> DataFrame:
         side = nodes.select("fp", "n_shingles", "regs")
         a = side.select(F.col("fp").alias("a"), F.col("n_shingles").alias("n_a"), F.col("regs").alias("regs_a"))
         b = side.select(F.col("fp").alias("b"), F.col("n_shingles").alias("n_b"), F.col("regs").alias("regs_b"))
         sized = pairs.join(a, "a").join(b, "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
         likely = materialize(sized.mapInPandas(partial(_likely, threshold=percent / 100), "a long, b long"))
-        wanted = likely.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-        ids = nodes.join(wanted, "fp", "left_semi").select(F.col("low").alias("id")).distinct()
-        texts = docs.join(ids, docs.doc_id.eqNullSafe(ids.id), "left_semi").select("text")
-        sets = texts.mapInArrow(partial(_sets, size=shingle_words), "fp long, shingles array<long>")
-        sets = materialize(sets.join(wanted, "fp", "left_semi").dropDuplicates(["fp"]))
+        sets = sets_of(likely.select(F.explode(F.array("a", "b")).alias("fp")))
         x = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("s"))
         y = sets.select(F.col("fp").alias("b"), F.col("shingles").alias("t"))
         shared = likely.join(x, "a").join(y, "b").withColumn("i", F.size(F.array_intersect("s", "t")))
         return shared.where(f"100 * i >= {percent} * (size(s) + size(t) - i)").select("a", "b")
 
-    groups = linked_groups(_bands(nodes, bands, rows), verify, closer=f"100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n)", extra=("n",))
+    def profile(rest: DataFrame) -> DataFrame:
+        sets = sets_of(rest.select(F.explode(F.array("pivot", "id")).alias("fp")))
+        own = sets.select(F.col("fp").alias("id"), F.col("shingles").alias("own_set"))
+        pivots = sets.select(F.col("fp").alias("pivot"), F.col("shingles").alias("pivot_set"))
+        return rest.join(own, "id").join(pivots, "pivot").mapInPandas(_profiles, PROFILE)
+
+    closer = f"{100 + percent} * ({SHARED}) >= {percent} * (x_n + y_n)"
+    groups = linked_groups(_bands(nodes, bands, rows), verify, profile, closer)
     named = nodes.select("fp", "low").join(groups.select(F.col("id").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
     members = named.join(lowest, "component").select("fp", "component_id")
@@ -150,6 +188,13 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def keep_one_of_each(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` without the documents that aren't the first of their near duplicates; columns stay as they are."""
+    gone = near_duplicates(docs, shingle_words, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = materialize(gone)
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_gone"]), "left_anti")
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates of the whole documents table on two-word shingles."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle_words=2)
