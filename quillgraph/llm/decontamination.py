@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .hashing import chunks, mix
+from .hashing import chunks
+from .scratch import materialize
 
 Q = 12
 EDIT_RATE = 0.07
@@ -189,7 +190,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
+    bad = materialize(contaminated(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct())
     return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_bad"]), "left_anti")
 
 
