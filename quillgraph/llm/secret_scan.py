@@ -7,6 +7,7 @@ expression then runs on candidates only. A rule without mandatory trigrams scans
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -48,16 +49,16 @@ def vocabulary(rules: tuple[Rule, ...]) -> list[str]:
 
 
 def postings(docs: DataFrame, grams: list[str]) -> DataFrame:
-    """The inverted index ``(gram, doc_id)`` of the trigrams ``grams`` over lower-cased texts."""
+    """The inverted index ``(gram, word, bit, doc_id)`` over lower-cased texts; word and bit number the trigrams."""
+    entries = [F.struct(F.lit(g).alias("gram"), F.lit(i // 63).alias("word"), F.lit(1 << i % 63).cast("long").alias("bit")) for i, g in enumerate(grams)]
     folded = docs.select("doc_id", F.lower("text").alias("folded"))
-    held = F.filter(F.array(*map(F.lit, grams)), lambda g: F.contains(F.col("folded"), g))
-    return folded.select("doc_id", F.explode(held).alias("gram"))
+    held = F.filter(F.array(*entries), lambda e: F.contains(F.col("folded"), e["gram"]))
+    return folded.select("doc_id", F.explode(held).alias("e")).select("doc_id", "e.*")
 
 
 def intersected(index: DataFrame, grams: list[str]) -> DataFrame:
     """``(doc_id, m0, m1, ...)``: the postings of each document as 63-bit sets, combined map-side first."""
-    place = F.array_position(F.array(*map(F.lit, grams)), F.col("gram")).cast("int") - 1
-    sets = [F.bit_or(F.when(F.floor(place / 63) == w, F.shiftleft(F.lit(1).cast("long"), (place % 63).cast("int"))).otherwise(F.lit(0).cast("long"))).alias(f"m{w}") for w in range(-(-len(grams) // 63))]
+    sets = [F.bit_or(F.when(F.col("word") == w, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"m{w}") for w in range(-(-len(grams) // 63))]
     return index.groupBy("doc_id").agg(*sets)
 
 
@@ -113,6 +114,10 @@ def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return docs.select("doc_id", F.array_sort(F.concat(*found)).alias("spans"))
 
 
+def of_kind(kind: str) -> Callable[[Column], Column]:
+    return lambda s: s["kind"] == kind
+
+
 def digest(spans_column: Column) -> Column:
     """``kind:start:end`` of each span, comma-joined."""
     return F.array_join(F.transform(spans_column, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -121,7 +126,7 @@ def digest(spans_column: Column) -> Column:
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every text of the whole documents table."""
     found = secret_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    counts = [F.size(F.filter("spans", lambda s, k=r.kind: s["kind"] == k)).cast("long").alias(f"n_{r.kind}") for r in BASE_RULES]
+    counts = [F.size(F.filter("spans", of_kind(r.kind))).cast("long").alias(f"n_{r.kind}") for r in BASE_RULES]
     base = F.filter("spans", lambda s: s["rank"] < len(BASE_RULES))
     return found.select("doc_id", *counts, F.sha2(digest(base).cast("binary"), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
 
