@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -38,7 +39,7 @@ def place_keys(n: int) -> np.ndarray:
 def chunks(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges whose texts hold about ``limit`` bytes; a longer text is a range of its own, never cut."""
     col = batch.column(column)
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0), dtype=np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(col), 0), dtype=np.int64)
     start = total = 0
     for i, n in enumerate(sizes):
         if i > start and total + n > limit:

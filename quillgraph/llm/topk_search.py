@@ -13,6 +13,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,7 +52,7 @@ def search(queries: dict[int, tuple[np.ndarray, np.ndarray]], batches: Iterator[
         lists = batch.column("v")
         values = np.asarray(lists.flatten(), dtype=np.int64)
         ids = np.asarray(batch.column("vec_id"), dtype=np.int64)
-        offsets = np.concatenate(([0], np.cumsum(np.asarray(pa.compute.list_value_length(lists)))))
+        offsets = np.concatenate(([0], np.cumsum(np.asarray(pc.list_value_length(lists)))))
         sizes = np.diff(offsets)
         for n in set(sizes.tolist()) & set(queries):
             rows = np.flatnonzero(sizes == n)
