@@ -21,7 +21,7 @@ WORDS_WORTH_A_GRAPH, WORDS_TOO_MANY, FILES_TOO_MANY = 50_000, 500_000, 200
 def discover(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """``(path, text, bytes, modified)`` of all files under a root. Contents come in only where a plan reads them."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    return files.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), F.decode("content", F.lit("UTF-8")).alias("text"), "content")
+    return files.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), F.decode("content", "UTF-8").alias("text"), "content")
 
 
 def looks_like_paper(text: Column | str) -> Column:
