@@ -111,7 +111,7 @@ def regions(codes: np.ndarray, starts: np.ndarray, items: Items) -> Iterator[tup
     """``(document, item, edits, start, end)`` of the items found in the joined texts."""
     q = items.q
     hashes = grams(codes, q)
-    near = np.flatnonzero(items.some[items.slots(hashes)])
+    near = np.flatnonzero(items.some[items.slots(hashes)]) if len(items.hash) else np.zeros(0, np.int64)
     lo, hi = np.searchsorted(items.hash, hashes[near], "left"), np.searchsorted(items.hash, hashes[near], "right")
     count = hi - lo
     near, lo, count = near[count > 0], lo[count > 0], count[count > 0]
@@ -124,7 +124,7 @@ def regions(codes: np.ndarray, starts: np.ndarray, items: Items) -> Iterator[tup
     half = items.budget[item] + 1
     band = diagonal // half
     key = np.concatenate([np.stack((doc, item, band)), np.stack((doc, item, band - 1))], axis=1)
-    found, number = np.unique(key, axis=1, return_counts=True)
+    found, number = np.unique(key.astype(np.int64), axis=1, return_counts=True)
     keep = number >= items.bound[found[1]]
     done: dict[tuple[int, int], int] = {}
     for d, i, b in found[:, keep].T.tolist():

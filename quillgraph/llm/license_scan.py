@@ -1,7 +1,7 @@
 """Licence detection by Dice's coefficient over word bigrams, with size bounds on the templates.
 
 The lines of a text that hold enough of the templates' bigrams form regions: each such line, and each run of them with
-its blank lines. A region is compared with the templates whose size can reach the threshold: with a and b bigrams,
+the blank and one-word lines between. A region is compared with the templates whose size can reach the threshold: with a and b bigrams,
 2 * min(a, b) / (a + b) bounds the coefficient. Hashes of all words of a batch are taken at once in numpy; only
 lines with template bigrams reach Python code.
 """
@@ -81,12 +81,12 @@ def bigram_slots(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def regions(lines: list[str], likely: list[int]) -> Iterator[tuple[int, int]]:
-    """Each likely line, and each run of likely lines and blank lines between them, as (first, last)."""
+    """Each likely line, and each run of likely lines with lines of one word or none between them, as (first, last)."""
     for i in likely:
         yield i, i
     run: list[int] = []
     for i in likely:
-        if run and any(lines[k].strip() for k in range(run[-1] + 1, i)):
+        if run and any(len(lines[k].split()) > 1 for k in range(run[-1] + 1, i)):
             if len(run) > 1:
                 yield run[0], run[-1]
             run = []

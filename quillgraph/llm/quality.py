@@ -182,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCUMENTS) -> Fie
 
 def _score(batches: Iterator[pa.RecordBatch], field: Field | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b in chunks(batch, "text", 4 << 20):
+        for a, b in chunks(batch, "text", 1 << 21):
             part = batch.slice(a, b - a)
             score = field.scores(part.column("text")) if field else np.full(len(part), 0.5)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], [*part.schema.names, "score"])
