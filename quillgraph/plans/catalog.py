@@ -696,12 +696,12 @@ def federate(spark, d):
     return federation.federate({"a": part, "b": part}).edges.select("src", "dst", "relation")
 
 
-@query("line_ranges", """with s as (select l_suppkey as file, cast(l_orderkey % 100 as integer) as first, cast(l_orderkey % 100 + 5 as integer) as last, l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_extendedprice::bigint as id from lineitem where l_suppkey < 5),
+@query("line_ranges", """with s as (select l_suppkey as file, cast(l_orderkey % 100 as integer) as first, cast(l_orderkey % 100 + 5 as integer) as last, l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || floor(l_extendedprice)::bigint as id from lineitem where l_suppkey < 5),
 c as (select distinct l_suppkey as file, cast(l_partkey % 40 as integer) as first, cast(l_partkey % 40 + 2 as integer) as last from lineitem where l_suppkey < 5 and l_partkey % 50 = 0)
 select s.file, id, s.first, s.last, c.first as c_first, c.last as c_last from s join c on s.file = c.file and s.first <= c.last and c.first <= s.last""")
 def line_ranges(spark, d):
     lines = table(spark, d, "lineitem").where("l_suppkey < 5")
-    id_ = F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), F.round("l_extendedprice").cast("long").cast("string"))
+    id_ = F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), F.floor("l_extendedprice").cast("long").cast("string"))
     symbols = lines.select(F.col("l_suppkey").alias("file"), (F.col("l_orderkey") % 100).cast("int").alias("first"), (F.col("l_orderkey") % 100 + 5).cast("int").alias("last"), id_.alias("id"))
     changed = lines.where("l_partkey % 50 = 0").select(F.col("l_suppkey").alias("file"), (F.col("l_partkey") % 40).cast("int").alias("first"), (F.col("l_partkey") % 40 + 2).cast("int").alias("last")).distinct()
     return review.overlapping(changed, symbols)
