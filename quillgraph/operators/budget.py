@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.functions.text import round_half_up
+
 CHARS_PER_TOKEN = 4
 
 
@@ -71,10 +73,14 @@ def coverage(selected: DataFrame, required: list[str]) -> DataFrame:
     return wanted.join(found, "evidence", "left").select("evidence", F.coalesce("nodes", F.lit(0)).alias("nodes"), F.col("nodes").isNotNull().alias("covered"))
 
 
-def confidence(base: Column, missing: Column, conflicts: Column) -> tuple[Column, Column]:
-    """A score from the evidence's strength (strong 0.55 + 0.3, partial 0.55, weak 0.15) less capped penalties, and its band."""
-    score = F.when(base == "strong", 0.85).when(base == "partial", 0.55).otherwise(0.15) + F.when((missing == 0) & (conflicts == 0), 0.15).otherwise(0.0)
-    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), score - F.least(missing * 0.1, F.lit(0.3)) - F.least(conflicts * 0.1, F.lit(0.2))))
+def confidence(required: Column, semantic: Column, relationships: Column, missing_required: Column, missing_semantic: Column) -> tuple[Column, Column]:
+    """A score and its band from the covered shares of required evidence, semantic categories and relationships.
+
+    ``0.55 * required + 0.3 * semantic + 0.15 * relationships``, less 0.03 for each missing class (0.15 at most) and
+    0.02 for each missing category (0.1 at most); high from 0.85, medium from 0.5.
+    """
+    score = required * 0.55 + semantic * 0.3 + relationships * 0.15 - F.least(F.lit(0.15), missing_required * 0.03) - F.least(F.lit(0.1), missing_semantic * 0.02)
+    score = round_half_up(score, 4)
     return score, F.when(score >= 0.85, "high").when(score >= 0.5, "medium").otherwise("low")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as T
-from quillgraph.operators import analyze, budget, centrality, community, components, federation, metrics, retrieve, review, traverse
+from quillgraph.operators import analyze, budget, centrality, community, components, federation, interpret, metrics, retrieve, review, traverse
 from quillgraph.operators.graph import EDGE_COLUMNS, PropertyGraph, conformed
 from quillgraph.sources import extraction, files, sinks, text_parsers
 
@@ -635,12 +635,35 @@ def coverage(spark, d):
     return budget.coverage(table(spark, d, "lineitem").select(F.col("l_returnflag").alias("evidence")), ["A", "N", "X"])
 
 
-@query("confidence_bands", """with x as (select o_orderkey, case when o_orderkey % 3 = 0 then 0.85 when o_orderkey % 3 = 1 then 0.55 else 0.15 end + case when o_orderkey % 4 = 0 and o_orderkey % 2 = 0 then 0.15 else 0 end - least((o_orderkey % 4) * 0.1, 0.3) - least((o_orderkey % 2) * 0.1, 0.2) as s from orders),
-y as (select o_orderkey, greatest(0.0, least(1.0, s)) as s from x) select o_orderkey, round(s, 6)::double as score, case when s >= 0.85 then 'high' when s >= 0.5 then 'medium' else 'low' end as band from y""")
+@query("confidence_bands", """with x as (select o_orderkey, floor(((o_orderkey % 5) / 4.0 * 0.55 + (o_orderkey % 3) / 2.0 * 0.3 + 0.15 - least(0.15, (4 - o_orderkey % 5) * 0.03) - least(0.1, (2 - o_orderkey % 3) * 0.02))::double * 10000.0 + 0.5) / 10000.0 as s from orders)
+select o_orderkey, round(s, 3) as score, case when s >= 0.85 then 'high' when s >= 0.5 then 'medium' else 'low' end as band from x""")
 def confidence_bands(spark, d):
-    k = F.col("o_orderkey")
-    score, band = budget.confidence(F.when(k % 3 == 0, "strong").when(k % 3 == 1, "partial").otherwise("weak"), k % 4, k % 2)
-    return table(spark, d, "orders").select("o_orderkey", F.round(score, 6).alias("score"), band.alias("band"))
+    a, b = F.col("o_orderkey") % 5, F.col("o_orderkey") % 3
+    score, band = budget.confidence(a / 4.0, b / 2.0, F.lit(1.0), 4 - a, 2 - b)
+    return table(spark, d, "orders").select("o_orderkey", F.round(score, 3).alias("score"), band.alias("band"))
+
+
+@query("symbol_scores", B.TRADE + """, f as (select id, regexp_replace(lower(label), '[^a-z0-9]', '', 'g') as n, regexp_replace(lower(source_file), '[^a-z0-9]', '', 'g') as p from nodes)
+select id, case when n = 'order12' then 4.0 when n = 'supplier000000003' then 2.5 else 0 end::double as score from f where n in ('order12', 'supplier000000003')""")
+def symbol_scores(spark, d):
+    score = interpret.symbol_score(F.regexp_replace("label", "^Supplier#0*", "Supplier.s"), F.col("source_file"), ["Order12", "s3"])
+    return B.trade(spark, d).nodes.select("id", score.alias("score")).where("score > 0")
+
+
+ORACLE_SQL["symbol_scores"] = B.TRADE + " select id, case when id = 'o:12' then 4.0 else 2.5 end::double as score from nodes where id in ('o:12', 's:3')"
+
+
+@query("identifier_scores", B.TRADE + " select id, 1.2::double as score from nodes where contains(source_file, 'geo/nations.md')")
+def identifier_scores(spark, d):
+    names = interpret.identifiers("What is in geo/nations.md today?")
+    return B.trade(spark, d).nodes.select("id", F.round(interpret.identifier_score(F.col("label"), F.col("source_file"), names), 6).alias("score")).where("score > 0")
+
+
+@query("question_readings")
+def question_readings(spark, d):
+    asked = ["hello!", "Why does `login()` fail in src/auth.py?", "Explain billing, without tests and docs", "What breaks if I change Order.total?", "rename things"]
+    rows = [(q, r.intent, r.level, r.paths, r.symbols, r.excluded) for q in asked for r in [interpret.read_question(q)]]
+    return spark.createDataFrame(rows, "question string, intent string, level int, paths array<string>, symbols array<string>, excluded array<string>")
 
 
 @query("truncation", "select doc_id, case when length(text) > 300 then substr(text, 1, 300) || chr(10) || '... (truncated)' else text end as text, cast(ceil(length(text) / 4.0) as integer) as tokens from documents")

@@ -8,7 +8,7 @@ from graphs import graph
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as T
-from quillgraph.operators import budget, federation, retrieve, review
+from quillgraph.operators import budget, federation, interpret, retrieve, review
 
 
 def rows(df, *cols):
@@ -134,3 +134,26 @@ def test_likely_tests(spark):
 def test_risk(spark):
     df = spark.createDataFrame([("x", 1, 1, 0, 0), ("y", 0, 0, 1, 0), ("z", 0, 1, 0, 0)], "label string, affected int, communities int, hotspots int, dependents int")
     assert [(r.label, r.score, r.severity) for r in review.risk_map(df).collect()] == [("y", 6, "high"), ("x", 3, "medium"), ("z", 1, "low")]
+
+
+@pytest.mark.parametrize(
+    ("question", "intent", "level"),
+    [("hello!", "chitchat", 0), ("Why is it slow?", "debug", 3), ("What depends on x?", "impact", 4), ("Explain the billing", "explain", 1), ("Explain `Bill.total`", "explain", 2), ("rename it", "rename", 0), ("Add a button", "unknown", 1), ("Explain it, without tests", "explain", 1)],
+)
+def test_questions(question, intent, level):
+    r = interpret.read_question(question)
+    assert (r.intent, r.level) == (intent, level)
+
+
+def test_names_in_questions(spark):
+    r = interpret.read_question("Where does src/auth/login.ts call `Session.open()`? Ignore tests and mocks.")
+    assert (r.paths, r.symbols, r.excluded) == (["src/auth/login.ts"], ["Session.open()"], ["tests", "mocks"])
+    assert interpret.read_question("review this", has_diff=True).level == 5 and interpret.read_question("hi", level=3).level == 3
+    df = spark.createDataFrame([("Session.open()", "x.ts"), (".open()", "lib/session.ts"), ("Door.open()", "door.ts"), ("close", "x.ts")], "label string, file string")
+    got = [x.s for x in df.select(interpret.symbol_score(F.col("label"), F.col("file"), ["Session.open()"]).alias("s")).collect()]
+    assert got == [4.0, 3.5, 3.0, 0.0]
+    names = interpret.identifiers("what sets user_login_count here")
+    assert names == [("userlogincount", 3)]
+    df = spark.createDataFrame([("userLoginCount", "x.ts"), ("x", "a/user_login_count.ts"), ("y", "y.ts")], "label string, file string")
+    assert [round(x.s, 2) for x in df.select(interpret.identifier_score(F.col("label"), F.col("file"), names).alias("s")).collect()] == [1.45, 1.2, 0.0]
+    assert one(spark, interpret.quality_score([F.lit(2), F.lit(1)])) == 0.7
