@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from .scratch import materialize
 
+BROADCAST_ROWS = 1_000_000  # of two longs; more are joined by a shuffle
+
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``edges(a, b)`` of any orderable id -> ``(id, component)``, component being the smallest id reachable.
@@ -55,12 +57,14 @@ def linked_groups(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame],
     """
     first = materialize(buckets.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("n > 1 and lo <> hi"))
     crowded = first.where("n > 2").select("bucket", "lo")
-    members = buckets.select("bucket", "id").join(crowded, "bucket").where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b"))
-    stars = materialize(first.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).union(members).distinct())
+    if crowded.count() <= BROADCAST_ROWS:
+        crowded = F.broadcast(crowded)
+    members = materialize(buckets.select("bucket", "id").join(crowded, "bucket").where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct())
+    stars = first.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).union(members).distinct()
     edges = materialize(verify(stars).select("a", "b"))
     groups = connected_components(edges)
 
-    placed = stars.select(F.col("a").alias("pivot"), F.col("b").alias("id")).join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = members.select(F.col("a").alias("pivot"), F.col("b").alias("id")).join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
     split = placed.groupBy("pivot").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("pivot")
     rest = materialize(placed.join(split, "pivot").select("pivot", "id", "component"))
     if rest.isEmpty():
