@@ -22,6 +22,7 @@ Q = 12
 EDIT_RATE = 0.07
 BLOCK_CHARS = 4 << 20  # characters of benchmark items sent to the executors at once
 FILTER_BITS = 22
+NOTHING = 0xFFFFFFFF  # no character
 
 FOLD = np.arange(0x250, dtype=np.uint32)
 for _c in range(0x250):
@@ -89,7 +90,7 @@ def aligned(item: np.ndarray, text: np.ndarray, budget: int) -> tuple[int, int,
     far = len(item) + len(text) + 1
     width = len(text) - len(item) + 1
     if width <= 0:
-        text = np.concatenate((text, np.full(1 - width, 0xFFFFFFFF, np.uint32)))
+        text = np.concatenate((text, np.full(1 - width, NOTHING, np.uint32)))
         width = 1
     steps = np.arange(width)
     row, start = np.zeros(width, int), steps.copy()  # free start anywhere in the band
@@ -107,6 +108,18 @@ def aligned(item: np.ndarray, text: np.ndarray, budget: int) -> tuple[int, int,
     return (int(row[j]), int(start[j]), j + len(item)) if row[j] <= budget else None
 
 
+def window(codes: np.ndarray, a: int, z: int, low: int, high: int) -> np.ndarray:
+    """Places ``a`` to ``z``; those outside the text, ``low`` to ``high``, hold a character that matches nothing.
+
+    So every diagonal of the band exists at a text's ends too: an item's character there costs one edit, as if deleted.
+    """
+    out = np.full(z - a, NOTHING, np.uint32)
+    x, y = max(a, low), min(z, high)
+    if x < y:
+        out[x - a : y - a] = codes[x:y]
+    return out
+
+
 def regions(codes: np.ndarray, starts: np.ndarray, items: Items) -> Iterator[tuple[int, int, int, int, int]]:
     """``(document, item, edits, start, end)`` of the items found in the joined texts."""
     q = items.q
@@ -130,13 +143,13 @@ def regions(codes: np.ndarray, starts: np.ndarray, items: Items) -> Iterator[tup
     for d, i, b in found[:, keep].T.tolist():
         e = int(items.budget[i])
         first = b * (e + 1) - (1 << 20)
-        a = max(int(starts[d]), first - e)
-        z = min(int(starts[d + 1]) - 1, first + 2 * (e + 1) + e + int(items.sizes[i]))
-        if done.get((d, i), -1) >= a + e:  # the region before has it
+        a, z = first - e, first + 2 * (e + 1) + e + int(items.sizes[i])
+        if done.get((d, i), first - 1) >= first:  # the region before has it
             continue
-        if hit := aligned(items.codes[i], codes[a:z], e):
-            done[d, i] = a + hit[2]
-            yield d, i, hit[0], a + hit[1] - int(starts[d]), min(a + hit[2], z) - int(starts[d])
+        if hit := aligned(items.codes[i], window(codes, a, z, int(starts[d]), int(starts[d + 1]) - 1), e):
+            low, high = max(a + hit[1], int(starts[d])), min(a + hit[2], int(starts[d + 1]) - 1)
+            done[d, i] = high
+            yield d, i, hit[0], low - int(starts[d]), high - int(starts[d])
     for i in items.short:
         text = items.codes[i]
         at = np.flatnonzero(codes[: len(codes) - len(text) + 1] == text[0])

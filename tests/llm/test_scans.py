@@ -63,6 +63,22 @@ def test_contamination_matches_full_alignment(spark):
     assert {r.doc_id for r in left.collect()} == {d for d, _ in rows} - {d for d, _ in found}
 
 
+def test_edited_items_at_the_ends_of_a_text():
+    rng = random.Random(8)
+    for n in range(6):
+        item = prose(rng, rng.randint(14, 30)) + "."
+        loaded = dec.Items([(1, item)], dec.Q, dec.EDIT_RATE)
+        e = int(loaded.budget[0])
+        k = rng.randint(1, e)
+        for part in (item[:-k], item[k:], item[: len(item) // 2] + item[len(item) // 2 + k :], edited(rng, item, e)):
+            for text in (part, part + " " + prose(rng, 40), prose(rng, 40) + " " + part):
+                starts = np.array([0, 4, 5 + len(text)])
+                got = list(dec.regions(dec.folded("abc\x00" + text + "\x00"), starts, loaded))
+                least = edits_inside(item, text)
+                assert least <= e and [g[:3] for g in got] == [(1, 0, least)], (item, text)
+                assert 0 <= got[0][3] < got[0][4] <= len(text) and edits_inside(text[got[0][3] : got[0][4]], item) <= e
+
+
 def test_contamination_of_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert dec.contaminated(docs(spark, [(1, "x")]), bench).count() == 0
