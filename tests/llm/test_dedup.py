@@ -152,6 +152,28 @@ def test_lines_match_all_pairs(spark, seed):
     assert len({g.find(t) for t in texts}) < len(texts)  # some fuzzy links exist
 
 
+def test_short_lines_long_lines_and_unicode_punctuation(spark):
+    rng = random.Random(9)
+    lines = []
+    for n in range(3, 10):
+        base = [f"w{n}x{i}" for i in range(n)]
+        lines += [" ".join(base), " ".join([*base[:1], "other", *base[2:]]), " ".join(base[:2] + base[3:])]
+    rng.shuffle(lines)
+    got = {r.line_no: r.first_line_no for r in line_groups(docs(spark, [(1, "\n".join(lines))])).collect()}
+    g = Groups()
+    for i, a in enumerate(lines):
+        g.find(i)
+        for j, b in enumerate(lines[:i]):
+            x, y = a.split(" "), b.split(" ")
+            if edits(x, y) <= int(0.2 * max(len(x), len(y)) + 1e-9):
+                g.join(i, j)
+    assert got == {i: g.find(i) for i in range(len(lines))}
+    words = [f"v{i}" for i in range(40_000)]
+    long = " ".join(words) + "\n" + " ".join([*words[:7], "other", *words[8:]])
+    rows = line_groups(docs(spark, [(1, long), (2, "\u201cquoted\u201d line \u2014 here"), (3, '"quoted" line - here')])).collect()
+    assert {(r.doc_id, r.line_no) for r in rows if r.kept} == {(1, 0), (2, 0)}
+
+
 def test_dropped_lines(spark):
     out = drop_repeated_lines(docs(spark, [(1, "alpha one\nbeta two"), (2, "Alpha  one!\ngamma"), (3, "beta two"), (4, ""), (5, None)]).withColumn("n_chars", F.length("text").cast("long")))
     assert {r.doc_id: (r.text, r.n_chars) for r in out.collect()} == {1: ("alpha one\nbeta two", 18), 2: ("gamma", 5), 4: ("", 0), 5: (None, None)}
