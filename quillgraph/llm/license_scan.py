@@ -1,7 +1,8 @@
 """Licence detection by Dice's coefficient over word bigrams, with size bounds on the templates.
 
 The lines of a text that hold enough of the templates' bigrams form regions: each such line, and each run of them with
-the blank and one-word lines between. A region is compared with the templates whose size can reach the threshold: with a and b bigrams,
+the blank and one-word lines between. Within a run every shorter run is tried as well, so that licences which follow
+one another are told apart. A region is compared with the templates whose size can reach the threshold: with a and b bigrams,
 2 * min(a, b) / (a + b) bounds the coefficient. Hashes of all words of a batch are taken at once in numpy; only
 lines with template bigrams reach Python code.
 """
@@ -29,9 +30,13 @@ WORD_BYTE = np.zeros(256, bool)
 WORD_BYTE[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 
+def words_of(text: str) -> list[str]:
+    return re.findall(r"[0-9a-z\x80-\U0010ffff]+", text.translate(ASCII_LOWER))
+
+
 def bigrams(text: str) -> Counter:
     """Bigrams of lower-cased words with their counts; one word alone gives itself."""
-    words = re.findall(r"[0-9a-z\x80-\U0010ffff]+", text.translate(ASCII_LOWER))
+    words = words_of(text)
     return Counter(zip(words, words[1:], strict=False)) if len(words) > 1 else Counter((w, "") for w in words)
 
 
@@ -50,6 +55,10 @@ class Templates:
         self.rows = sorted(((b.total(), name, b) for name, b in ((n, bigrams(t)) for n, t in rows) if b), key=lambda r: r[:2])
         self.sizes = np.array([r[0] for r in self.rows])
         self.threshold = threshold
+        self.holders: dict[tuple[str, str], list[tuple[int, int]]] = {}
+        for t, (_, _, b) in enumerate(self.rows):
+            for g, n in b.items():
+                self.holders.setdefault(g, []).append((t, n))
         self.slots = np.zeros(SLOTS, bool)
         for _, t in rows:
             data = np.frombuffer(t.encode() + b"\n", np.uint8)
@@ -95,6 +104,39 @@ def regions(lines: list[str], likely: list[int]) -> Iterator[tuple[int, int]]:
         yield run[0], run[-1]
 
 
+def parts(lines: list[str], run: list[int], templates: Templates) -> list[tuple[str, int, int, float]]:
+    """The best matches among all runs of two or more likely lines of ``run``, none overlapping a better one.
+
+    From each first line on, overlaps with the templates are carried along until the largest template is out of reach.
+    """
+    words = [words_of(x) for x in lines[run[0] : run[-1] + 1]]
+    largest = templates.sizes[-1] / templates.share + 1e-9
+    found = []
+    for k, first in enumerate(run):
+        seen, overlap, total, before, at = Counter(), Counter(), 0, None, first
+        for last in run[k:]:
+            for w in (w for x in words[at - run[0] : last - run[0] + 1] for w in x):
+                if before is not None:
+                    total += 1
+                    seen[before, w] += 1
+                    for t, n in templates.holders.get((before, w), ()):
+                        overlap[t] += seen[before, w] <= n
+                before = w
+            at = last + 1
+            if total > largest:
+                break
+            if last > first and overlap:
+                d, name = min((-2 * n / (total + templates.rows[t][0]), templates.rows[t][1]) for t, n in overlap.items())
+                if -d >= templates.threshold:
+                    found.append((d, first - last, first, last, name))
+    taken, best = set(), []
+    for d, _, first, last, name in sorted(found):
+        if taken.isdisjoint(range(first, last + 1)):
+            taken.update(range(first, last + 1))
+            best.append((name, first, last, round(-d, 6)))
+    return best
+
+
 FOUND = "doc_id long, license string, first_line int, last_line int, dice double"
 
 
@@ -103,8 +145,11 @@ def scan_text(text: str, hot_lines: list[int], templates: Templates) -> list[tup
     lines = text.split("\n")
     found = []
     for a, z in regions(lines, hot_lines):
-        if hit := templates.best(bigrams("\n".join(lines[a : z + 1]))):
+        hit = templates.best(bigrams("\n".join(lines[a : z + 1])))
+        if hit:
             found.append((hit[0], a, z, round(hit[1], 6)))
+        if z > a:  # what the whole run already tells isn't told again
+            found += [x for x in parts(lines, [i for i in hot_lines if a <= i <= z], templates) if not hit or x[0] != hit[0]]
     return [x for x in found if not any(y is not x and y[0] == x[0] and y[1] <= x[1] and x[2] <= y[2] and y[3] >= x[3] for y in found)]
 
 
@@ -139,7 +184,8 @@ def licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES
     """``docs(doc_id, text, ...)`` -> ``(doc_id, license, first_line, last_line, dice)``, a row per region that matches.
 
     Lines are numbered from 0. Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased. A line of
-    one word is compared only as part of a run. Null, empty and other texts without a match give no row; repeated
+    one word is compared only as part of a run. Of the runs inside a run the best that don't overlap give rows, except
+    for the licence that the whole run matches. Null, empty and other texts without a match give no row; repeated
     rows and null doc_ids are scanned row by row; texts of any length are scanned whole. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -107,6 +107,19 @@ def test_licences(spark):
     assert lic.licenses(docs(spark, [])).count() == 0
 
 
+def test_adjacent_and_repeated_licences():
+    templates = lic.Templates(lic.TEMPLATES, lic.THRESHOLD)
+    long = [(n, t.strip("\n")) for n, t in lic.TEMPLATES if t.count("\n") > 2]
+    mit = next(x for x in long if x[0] == "MIT")
+    for other in long:
+        for (m, a), (n, b) in ((mit, other), (other, mit)):
+            lines = (a + "\n\n" + b).split("\n")
+            likely = [i for i, x in enumerate(lines) if len(x.split()) > 1]
+            got = {x[:3] for x in lic.scan_text("\n".join(lines), likely, templates)}
+            k = a.count("\n") + 1  # a last line of one word isn't likely
+            assert {(m, 0, max(i for i in likely if i < k)), (n, k + 1, likely[-1])} <= got, (m, n, got)
+
+
 def test_size_bounds_lose_no_template():
     rng = random.Random(2)
     templates = lic.Templates(lic.TEMPLATES, 0.5)
