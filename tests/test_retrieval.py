@@ -157,3 +157,12 @@ def test_names_in_questions(spark):
     df = spark.createDataFrame([("userLoginCount", "x.ts"), ("x", "a/user_login_count.ts"), ("y", "y.ts")], "label string, file string")
     assert [round(x.s, 2) for x in df.select(interpret.identifier_score(F.col("label"), F.col("file"), names).alias("s")).collect()] == [1.45, 1.2, 0.0]
     assert one(spark, interpret.quality_score([F.lit(2), F.lit(1)])) == 0.7
+
+
+@pytest.mark.parametrize("name", ["knapsack", "compile_pack"])
+def test_packing_queries_take_every_pool(spark, name):
+    from quillgraph.plans.catalog import QUERIES
+
+    d = "/root/testdata/sf0.01"
+    pools = spark.read.parquet(f"{d}/lineitem.parquet").select("l_suppkey").distinct().count()
+    assert pools > 20 and QUERIES[name](spark, d).select("pool").distinct().count() == pools
