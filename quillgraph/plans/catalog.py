@@ -221,7 +221,7 @@ def communities(spark, d):
 
 @query("communities_places")
 def communities_places(spark, d):
-    return community.communities(B.supply(spark, d))
+    return community.communities(B.places(spark, d))
 
 
 @query("label_propagation")

@@ -236,3 +236,11 @@ def test_same_answer_for_any_number_of_partitions(spark):
         out.append((rows(community.communities(g)), rows(metrics.god_nodes(g))))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert out[0] == out[1]
+
+
+def test_communities_places_clusters_the_customers_too(spark):
+    from quillgraph.plans.catalog import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    customers = spark.read.parquet(f"{d}/customer.parquet").count()
+    assert QUERIES["communities_places"](spark, d).where("id like 'c:%'").count() == customers > 0
