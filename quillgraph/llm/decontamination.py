@@ -19,10 +19,12 @@ from .hashing import chunks
 from .scratch import materialize
 
 Q = 12
+FINE = 5  # the length of the grams that a candidate region is tested with before it is aligned
 EDIT_RATE = 0.07
 BLOCK_CHARS = 4 << 20  # characters of benchmark items sent to the executors at once
 FILTER_BITS = 22
 NOTHING = 0xFFFFFFFF  # no character
+FAR = 1 << 40  # more than any place
 
 FOLD = np.arange(0x250, dtype=np.uint32)
 for _c in range(0x250):
@@ -36,6 +38,12 @@ def folded(text: str) -> np.ndarray:
     return np.where(codes < 0x250, FOLD[np.minimum(codes, 0x24F)], codes)
 
 
+def trimmed(codes: np.ndarray) -> np.ndarray:
+    """Folded characters without the spaces at both ends."""
+    inside = np.flatnonzero(codes != 32)
+    return codes[inside[0] : inside[-1] + 1] if len(inside) else codes[:0]
+
+
 def grams(codes: np.ndarray, q: int) -> np.ndarray:
     """A hash of the q characters from each place on."""
     n = len(codes) - q + 1
@@ -57,23 +65,38 @@ def grams(codes: np.ndarray, q: int) -> np.ndarray:
 
 
 class Items:
-    """A block of benchmark items with the places of their q-grams."""
+    """A block of benchmark items with the places of their q-grams.
 
-    def __init__(self, rows: list[tuple[int, str]], q: int, rate: float) -> None:
-        self.q, self.ids = q, np.array([r[0] for r in rows], np.int64)
-        self.codes = [folded(r[1]) for r in rows]
-        self.sizes = np.array([len(c) for c in self.codes])
+    Grams that an item holds once are kept with their place. Of those that it repeats only the fact is kept: a text's
+    grams could otherwise pair with all of their places.
+    """
+
+    def __init__(self, rows: list[tuple[int | None, str]], q: int, rate: float) -> None:
+        told = [(n, c) for n, c in ((r[0], trimmed(folded(r[1]))) for r in rows) if len(c)]
+        self.q, self.ids, self.codes = q, [n for n, _ in told], [c for _, c in told]
+        self.sizes = np.array([len(c) for c in self.codes], int)
         self.budget = np.maximum(0, np.minimum(np.floor(rate * self.sizes).astype(int), (self.sizes - q) // q))
         self.bound = np.maximum(1, self.sizes + 1 - q * (self.budget + 1))
+        self.fine = [grams(c, FINE) for c in self.codes]
         hashes = [grams(c, q) for c in self.codes]
         flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        item = np.repeat(np.arange(len(rows)), [len(h) for h in hashes])
+        item = np.repeat(np.arange(len(told)), [len(h) for h in hashes])
         place = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.zeros(0, int)
-        order = np.argsort(flat, kind="stable")
-        self.hash, self.item, self.place = flat[order], item[order], place[order]
+        order = np.lexsort((place, item, flat))
+        flat, item, place = flat[order], item[order], place[order]
+        same = (flat[1:] == flat[:-1]) & (item[1:] == item[:-1])
+        begins, follows = np.append(True, ~same)[: len(flat)], np.append(same, False)[: len(flat)]
+        once = begins & ~follows
+        self.hash, self.item, self.place = flat[once], item[once], place[once]
+        self.again, self.again_item = flat[begins & follows], item[begins & follows]
         self.some = np.zeros(1 << FILTER_BITS, bool)
-        self.some[self.slots(self.hash)] = True
-        self.short = [i for i, n in enumerate(self.sizes) if 0 < n < q]
+        self.some[self.slots(flat)] = True
+        self.short = [i for i, n in enumerate(self.sizes) if n < q]
+
+    def likely(self, i: int, text: np.ndarray) -> bool:
+        """Whether a window holds as many of an item's short grams, wherever they stand, as the lemma asks for."""
+        least = self.sizes[i] + 1 - FINE * (self.budget[i] + 1)
+        return least <= 0 or np.isin(self.fine[i], grams(text, FINE)).sum() >= least
 
     @staticmethod
     def slots(hashes: np.ndarray) -> np.ndarray:
@@ -93,6 +116,10 @@ def aligned(item: np.ndarray, text: np.ndarray, budget: int) -> tuple[int, int,
         text = np.concatenate((text, np.full(1 - width, NOTHING, np.uint32)))
         width = 1
     steps = np.arange(width)
+    same = (np.lib.stride_tricks.sliding_window_view(text, len(item)) == item).all(1)
+    if same.any():
+        j = int(same.argmax())
+        return 0, j, j + len(item)
     row, start = np.zeros(width, int), steps.copy()  # free start anywhere in the band
     for i, c in enumerate(item):
         diagonal = row + (text[i : i + width] != c)
@@ -120,33 +147,52 @@ def window(codes: np.ndarray, a: int, z: int, low: int, high: int) -> np.ndarray
     return out
 
 
+def matches(known: np.ndarray, hashes: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places among ``near`` and indices of the sorted ``known`` hashes that are equal, all pairs of them."""
+    lo, hi = np.searchsorted(known, hashes[near], "left"), np.searchsorted(known, hashes[near], "right")
+    count = hi - lo
+    return np.repeat(near, count), np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+
+
 def regions(codes: np.ndarray, starts: np.ndarray, items: Items) -> Iterator[tuple[int, int, int, int, int]]:
     """``(document, item, edits, start, end)`` of the items found in the joined texts."""
     q = items.q
     hashes = grams(codes, q)
-    near = np.flatnonzero(items.some[items.slots(hashes)]) if len(items.hash) else np.zeros(0, np.int64)
-    lo, hi = np.searchsorted(items.hash, hashes[near], "left"), np.searchsorted(items.hash, hashes[near], "right")
-    count = hi - lo
-    near, lo, count = near[count > 0], lo[count > 0], count[count > 0]
+    near = np.flatnonzero(items.some[items.slots(hashes)])
     doc = np.searchsorted(starts, near, "right") - 1
-    inside = near + q < starts[doc + 1]  # not across two texts
-    near, lo, count, doc = near[inside], lo[inside], count[inside], doc[inside]
-    flat = np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    place, doc, item = np.repeat(near, count), np.repeat(doc, count), items.item[flat]
-    diagonal = place - items.place[flat] + (1 << 20)  # not negative
-    half = items.budget[item] + 1
+    near = near[near + q < starts[doc + 1]]  # not across two texts
+    place, at = matches(items.hash, hashes, near)
+    item, diagonal = items.item[at], place - items.place[at] + FAR  # not negative
+    doc, half = np.searchsorted(starts, place, "right") - 1, items.budget[item] + 1
     band = diagonal // half
     key = np.concatenate([np.stack((doc, item, band)), np.stack((doc, item, band - 1))], axis=1)
     found, number = np.unique(key.astype(np.int64), axis=1, return_counts=True)
-    keep = number >= items.bound[found[1]]
+    wanted = set(map(tuple, found[:, number >= items.bound[found[1]]].T.tolist()))
+    place, at = matches(items.again, hashes, near)
+    item, doc = items.again_item[at], np.searchsorted(starts, place, "right") - 1
+    order = np.lexsort((place, item, doc))
+    item, doc, place = item[order], doc[order], place[order]
+    edge = np.flatnonzero(np.append(True, (np.diff(item) != 0) | (np.diff(doc) != 0))) if len(item) else []
+    told = dict(zip(map(tuple, found.T.tolist()), number.tolist(), strict=True)) if len(edge) else {}
+    for x, y in zip(edge, [*edge[1:], len(item)][: len(edge)], strict=True):
+        d, i, p = int(doc[x]), int(item[x]), place[x:y]
+        half, size, bound = int(items.budget[i]) + 1, int(items.sizes[i]), int(items.bound[i])
+        reach = size // half + 3  # bands whose items may cover a place
+        bands = np.unique(((np.unique(p // half) * half + FAR) // half)[:, None] - np.arange(reach)[None, :])
+        first = bands * half - FAR
+        within = np.searchsorted(p, first + 2 * half + half + size) - np.searchsorted(p, first - half)
+        for b, w in zip(bands.tolist(), within.tolist(), strict=True):
+            if w + told.get((d, i, b), 0) >= bound:
+                wanted.add((d, i, b))
     done: dict[tuple[int, int], int] = {}
-    for d, i, b in found[:, keep].T.tolist():
+    for d, i, b in sorted(wanted):
         e = int(items.budget[i])
-        first = b * (e + 1) - (1 << 20)
+        first = b * (e + 1) - FAR
         a, z = first - e, first + 2 * (e + 1) + e + int(items.sizes[i])
         if done.get((d, i), first - 1) >= first:  # the region before has it
             continue
-        if hit := aligned(items.codes[i], window(codes, a, z, int(starts[d]), int(starts[d + 1]) - 1), e):
+        text = window(codes, a, z, int(starts[d]), int(starts[d + 1]) - 1)
+        if items.likely(i, text) and (hit := aligned(items.codes[i], text, e)):
             low, high = max(a + hit[1], int(starts[d])), min(a + hit[2], int(starts[d + 1]) - 1)
             done[d, i] = high
             yield d, i, hit[0], low - int(starts[d]), high - int(starts[d])
@@ -175,7 +221,7 @@ def _scan(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
             codes = folded("\x00".join(texts) + "\x00")
             rows = list(regions(codes, starts, items))
             ids = part.column("doc_id").to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([ids[r[0]] for r in rows], pa.int64()), pa.array([int(items.ids[r[1]]) for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.int64()) for k in (3, 4))], ["doc_id", "item_id", "edits", "start", "end"])
+            yield pa.RecordBatch.from_arrays([pa.array([ids[r[0]] for r in rows], pa.int64()), pa.array([items.ids[r[1]] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.int64()) for k in (3, 4))], ["doc_id", "item_id", "edits", "start", "end"])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = EDIT_RATE) -> DataFrame:
@@ -184,18 +230,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float
     A row for each region of a text that holds a whole item with at most ``floor(rate * length)`` edits, or fewer
     where the lemma's bound would fall below one shared q-gram (items under about ``q / (1 - rate * q)`` characters).
     Items shorter than ``q`` must occur exactly. Upper and lower case, and kinds of white space, are alike.
-    Texts are scanned whole. Null and empty texts and items match nothing; repeated rows of either table each
-    give their rows; a null id is carried along. Items go out in blocks of bounded size, each a pass over the texts.
+    Texts are scanned whole. Null and empty texts and items, and items of white space alone, match nothing; white space around an
+    item doesn't count. Repeated rows of ``docs`` each give their rows, equal rows of ``benchmark`` count once; a null
+    id is carried along. Items go out in blocks of about ``BLOCK_CHARS``, each a pass over the texts; an item is never split.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), F.trim("text").alias("text")).where("text <> ''").distinct()
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text <> ''").distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-int(total) // BLOCK_CHARS))
     out = None
     for i in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i).collect()
-        sent = spark.sparkContext.broadcast(Items(sorted(map(tuple, rows)), q, rate))
+        sent = spark.sparkContext.broadcast(Items(sorted(map(tuple, rows), key=lambda r: (r[0] is not None, r)), q, rate))
         found = docs.mapInArrow(partial(_scan, sent=sent), FOUND)
         out = found if out is None else out.unionByName(found)
     return out

@@ -10,6 +10,7 @@ overlap none of them.
 
 from __future__ import annotations
 
+import bisect
 import random
 import re
 from collections.abc import Callable, Iterator
@@ -42,12 +43,13 @@ def luhn(number: str) -> bool:
 
 PATTERNS: dict[str, tuple[str, re.Pattern, Callable[[str], bool]]] = {
     "email": ("@", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), lambda s: True),
-    "ip": ("", re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), lambda s: all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in s.split("."))),
+    # a match can't start inside a row of digits: what follows is the same from its first digit
+    "ip": ("", re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), lambda s: all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in s.split("."))),
     "card": ("", re.compile(r"[0-9]([\x20-]?[0-9])+"), lambda s: 16 <= len(d := digits(s)) <= 19 and luhn(d)),
     "phone": ("+", re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"), lambda s: 8 <= len(digits(s)) <= 15),
 }
 DIGIT = re.compile(r"[0-9]")
-MARKED = re.compile(r"[^\s]*[0-9@][^\s]*")
+MARKED = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+")  # tried once a word, however long
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 
 
@@ -114,14 +116,17 @@ def shape(s: str) -> tuple[float, ...]:
     ))
 
 
+BLOCK = 1024  # words whose segments are held at once for prediction
+
+
 class Island:
-    """The candidate segments of adjoining marked words, each with its features."""
+    """The candidate segments of adjoining marked words, each with its features; those that start in a range of words."""
 
-    def __init__(self, text: str, words: list[tuple[int, int]], before: str) -> None:
+    def __init__(self, text: str, words: list[tuple[int, int]], before: str, first: int = 0, end: int | None = None) -> None:
         self.n, self.segments, rows = len(words), [], []
         context = before.lower().strip(":.,;=#")
         told = [float(context in CONTEXT[k]) for k in KINDS]
-        for i in range(self.n):
+        for i in range(first, self.n if end is None else end):
             for j in range(i, min(self.n, i + LONGEST)):
                 a, z = core(text, words[i][0], words[j][1])
                 if a < z and z - a <= 80:
@@ -143,42 +148,46 @@ class Island:
             beta[i] = np.logaddexp.reduce([beta[i + 1], *(beta[j + 1] + s for j, s in starts[i])])
         return alpha, beta, float(alpha[self.n])
 
-    def best(self, weights: np.ndarray) -> list[Span]:
-        """The best cutting's segments."""
-        scores = self.x @ weights
+
+def best(text: str, words: list[tuple[int, int]], before: str, weights: np.ndarray) -> list[Span]:
+    """The segments of an island's best cutting. Features are held for ``BLOCK`` words at a time, so memory follows the words, not the segments."""
+    n = len(words)
+    value, back = [0.0], []
+    ends: dict[int, list[tuple[int, float, Span]]] = {}
+    for first in range(0, n, BLOCK):
+        part = Island(text, words, before, first, min(n, first + BLOCK))
+        scores = part.x @ weights
         top = scores.argmax(1)
-        ends: list[list[tuple[int, float, int]]] = [[] for _ in range(self.n)]
-        for k, (i, j, _, _) in enumerate(self.segments):
-            ends[j].append((i, float(scores[k, top[k]]), k))
-        value, back = [0.0], []
-        for j in range(self.n):
+        for (i, j, a, z), k, s in zip(part.segments, top.tolist(), scores[np.arange(len(top)), top].tolist(), strict=True):
+            ends.setdefault(j, []).append((i, s, (KINDS[k], a, z)))
+        for j in range(first, min(n, first + BLOCK)):
             v, step = value[j], None
-            for i, s, k in ends[j]:
+            for i, s, span in ends.pop(j, ()):
                 if value[i] + s > v:
-                    v, step = value[i] + s, (i, k)
+                    v, step = value[i] + s, (i, span)
             value.append(v)
             back.append(step)
-        out, j = [], self.n - 1
-        while j >= 0:
-            if back[j] is None:
-                j -= 1
-            else:
-                i, k = back[j]
-                out.append((KINDS[top[k]], *self.segments[k][2:]))
-                j = i - 1
-        return out[::-1]
+    out, j = [], n - 1
+    while j >= 0:
+        if back[j] is None:
+            j -= 1
+        else:
+            i, span = back[j]
+            out.append(span)
+            j = i - 1
+    return out[::-1]
 
 
-def islands(text: str) -> Iterator[Island]:
-    """Runs of marked words with single spaces between them."""
+def runs(text: str) -> Iterator[tuple[list[tuple[int, int]], str]]:
+    """Runs of marked words with single spaces between them, and the word before each."""
     run: list[tuple[int, int]] = []
     for m in MARKED.finditer(text):
         if run and not (m.start() == run[-1][1] + 1 and text[run[-1][1]] in " \t"):
-            yield Island(text, run, _before(text, run[0][0]))
+            yield run, _before(text, run[0][0])
             run = []
         run.append(m.span())
     if run:
-        yield Island(text, run, _before(text, run[0][0]))
+        yield run, _before(text, run[0][0])
 
 
 def _before(text: str, at: int) -> str:
@@ -229,7 +238,7 @@ def train(n: int = EXAMPLES, rounds: int = 60, penalty: float = 0.05) -> np.ndar
     data = []
     for text, spans in examples(n):
         truth = {(a, z): KINDS.index(k) for k, a, z in spans}
-        for island in islands(text):
+        for island in (Island(text, *run) for run in runs(text)):
             gold = np.zeros((len(island.segments), len(KINDS)))
             for row, (_, _, a, z) in enumerate(island.segments):
                 if (a, z) in truth:
@@ -256,11 +265,17 @@ def find(text: str, weights: np.ndarray) -> tuple[list[Span], list[Span]]:
     if "@" not in text and not DIGIT.search(text):
         return [], []
     base = base_spans(text)
-    taken = sorted((a, z) for _, a, z in base)
+    taken: list[list[int]] = []  # merged, so that ends are sorted as starts are
+    for a, z in sorted((a, z) for _, a, z in base):
+        if taken and a <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], z)
+        else:
+            taken.append([a, z])
     more = []
-    for island in islands(text):
-        for k, a, z in island.best(weights):
-            if not any(a < y and x < z for x, y in taken):
+    for run, before in runs(text):
+        for k, a, z in best(text, run, before, weights):
+            at = bisect.bisect_left(taken, [z]) - 1  # the last that starts before the segment's end
+            if at < 0 or taken[at][1] <= a:
                 more.append((k, a, z))
     order = lambda s: (KINDS.index(s[0]), s[1], s[2])
     return sorted(base, key=order), sorted(base + more, key=order)

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import random
+import time
+import re
 import zlib
 
 import numpy as np
@@ -40,7 +42,7 @@ def test_contamination_matches_full_alignment(spark):
     rng = random.Random(5)
     items = [(i, prose(rng, rng.randint(12, 30))) for i in range(12)] + [(20, "tiny one"), (21, None), (22, ""), (None, prose(rng, 20))]
     loaded = dec.Items([(-1 if i is None else i, t) for i, t in items if t], dec.Q, dec.EDIT_RATE)
-    budget = dict(zip(loaded.ids.tolist(), loaded.budget.tolist(), strict=True))
+    budget = dict(zip(loaded.ids, loaded.budget.tolist(), strict=True))
     rows = []
     for n in range(60):
         i, t = items[n % 12]
@@ -97,6 +99,28 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
 # licences
 
 
+def test_repetitive_texts_take_time_in_proportion():
+    rng = random.Random(6)
+    began = time.monotonic()
+    items = dec.Items([(1, "-" * 400), (2, "| --- " * 60)], dec.Q, dec.EDIT_RATE)
+    for text in ("-" * 1_000_000, "| --- " * 60_000):
+        found = list(dec.regions(dec.folded(text + "\0"), np.array([0, len(text) + 1]), items))
+        assert {r[1] for r in found if r[2] == 0} and all(r[0] == 0 for r in found)
+    prefix = "Read the following passage with care and answer the question in one word: "
+    rows = [(i, prefix + prose(rng, 25)) for i in range(5000)]
+    items = dec.Items(rows, dec.Q, dec.EDIT_RATE)
+    text = prose(rng, 2000) + prefix + prose(rng, 2000) + rows[7][1] + prefix + prose(rng, 10)
+    assert [r[1:3] for r in dec.regions(dec.folded(text + "\0"), np.array([0, len(text) + 1]), items)] == [(7, 0)]
+    assert time.monotonic() - began < 90
+
+
+def test_blank_repeated_and_null_items(spark):
+    bench = spark.createDataFrame([(1, "\n"), (2, "\t \u00a0"), (3, " the long river runs past the old stone bridge\n"), (3, " the long river runs past the old stone bridge\n"), (None, "seven green lamps hang in the quiet market hall"), (4, None)], "item_id int, text string")
+    rows = [(1, "we know the long river runs past the old stone bridge today"), (2, "a b c\n"), (None, "Seven green lamps hang in the quiet market hall."), (1, "nothing")]
+    got = dec.contaminated(docs(spark, rows), bench).collect()
+    assert sorted((str(r.doc_id), str(r.item_id), r.edits, r.start) for r in got) == [("1", "3", 0, 8), ("None", "None", 0, 0)]
+
+
 def test_licences(spark):
     mit = next(t for n, t in lic.TEMPLATES if n == "MIT" and len(t) > 500)
     rows = [(1, "Some text.\nReleased under the MIT License.\nMore."), (2, mit.lower().replace("software", "Software")), (3, "nothing to see"), (4, None), (5, ""), (6, "licence"), (None, "Licensed under CC BY-NC 4.0."), (1, "Released under the MIT License."), (7, prose(random.Random(1), 30_000) + "\n" + mit)]
@@ -135,7 +159,11 @@ def test_size_bounds_lose_no_template():
 
 
 def brute_spans(text):
-    return [(k, *m.span()) for k in pii.KINDS for m in pii.PATTERNS[k][1].finditer(text or "") if pii.PATTERNS[k][2](m.group())]
+    given = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+    return [(k, *m.span()) for k in pii.KINDS for m in re.finditer(given[k], text or "") if pii.PATTERNS[k][2](m.group())]
 
 
 def test_base_spans_match_the_patterns(spark):
@@ -151,8 +179,26 @@ def test_base_spans_match_the_patterns(spark):
     assert pii.personal_data(docs(spark, [])).count() == 0
 
 
+def test_time_follows_the_length():
+    w = pii.train(60, 5)
+    n = 1_000_000
+    began = time.monotonic()
+    for text in ("x" * n + " 1", "9" * n, "x" * n + "@", "1." * (n // 2), "12 34 " * (n // 24), "a@b.co " * (n // 14), "+1 " * (n // 12)):
+        pii.find(text, w)
+    assert time.monotonic() - began < 120
+
+
+def test_long_islands_are_cut_as_short_ones(monkeypatch):
+    rng = random.Random(8)
+    text = " ".join(rng.choice(["12", "4111", "555-1234", "a@b.co", "1.2.3.4", "(020)", "+44"]) for _ in range(60))
+    w = pii.train(60, 5)
+    whole = pii.find(text, w)
+    monkeypatch.setattr(pii, "BLOCK", 7)
+    assert pii.find(text, w) == whole
+
+
 def test_field_sums_over_all_cuttings():
-    island = next(pii.islands("12 34-5 a@b.c 7"))
+    island = pii.Island(text := "12 34-5 a@b.c 7", *next(pii.runs(text)))
     w = np.random.default_rng(1).normal(size=(pii.FEATURES, 4)) * 0.3
     scores = island.x @ w
     best = [-np.inf, None]
@@ -172,14 +218,14 @@ def test_field_sums_over_all_cuttings():
     totals = walk(0, 0.0)
     assert island.forward(scores)[2] == pytest.approx(np.logaddexp.reduce(totals))
     spans = {(a, z): k for k, (_, _, a, z) in enumerate(island.segments)}
-    assert sum(scores[spans[a, z], pii.KINDS.index(kind)] for kind, a, z in island.best(w)) == pytest.approx(best[0])
+    assert sum(scores[spans[a, z], pii.KINDS.index(kind)] for kind, a, z in pii.best(text, *next(pii.runs(text)), w)) == pytest.approx(best[0])
 
 
 def test_field_on_unseen_examples():
     w = pii.train()
     hit = miss = wrong = 0
     for text, spans in pii.examples(300, seed=41):
-        got = {s for i in pii.islands(text) for s in i.best(w)}
+        got = {s for run in pii.runs(text) for s in pii.best(text, *run, w)}
         hit, miss, wrong = hit + len(got & set(spans)), miss + len(set(spans) - got), wrong + len(got - set(spans))
     assert hit / (hit + miss) > 0.9 and hit / (hit + wrong) > 0.9
     clean = "The year 2024 had 365 days, 12 months and 3.14 as pi; v1.2.3 cost 45 euros at 10:30."
