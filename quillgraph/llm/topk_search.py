@@ -21,7 +21,19 @@ from .scratch import materialize
 
 QUERY_BLOCK = 8 << 20  # bytes of query vectors sent to the executors at once
 VECTOR_BLOCK = 1024
-LIMIT = 1 << 31  # components beyond this take no part: their products wouldn't fit a long
+SAFE = float(1 << 62)  # sums of products below this are exact in 64 bits
+
+
+def whole(x: np.ndarray, scale: int) -> np.ndarray:
+    """``floor(scale * x)`` as 64-bit integers, or as Python's where those don't reach."""
+    if np.abs(x).max(initial=0) < SAFE / scale:
+        return np.floor(x * float(scale)).astype(np.int64)
+    exact = [int(v) * scale if abs(v) >= 1 << 53 else int(np.floor(v * scale)) for v in x.ravel().tolist()]
+    return np.array(exact, object).reshape(x.shape)
+
+
+def largest(x: np.ndarray) -> float:
+    return float(max((abs(v) for v in x.ravel().tolist()), default=0) if x.dtype == object else np.abs(x).max(initial=0))
 
 
 class Block:
@@ -42,15 +54,27 @@ class Block:
 
 
 def better(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    if score.dtype == object:
+        return np.array(sorted(range(len(ids)), key=lambda i: (-score[i], ids[i]))[:k], int)
     return np.lexsort((ids, -score))[:k]
 
 
-def search(queries: dict[int, tuple[np.ndarray, np.ndarray]], batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+Best = tuple[np.ndarray, np.ndarray]
+
+
+def merged(a: Best, b: Best, k: int) -> Best:
+    score, ids = np.concatenate((a[0], b[0])), np.concatenate((a[1], b[1]))
+    top = better(score, ids, k)
+    return score[top], ids[top]
+
+
+def search(queries: dict[int, tuple[np.ndarray, np.ndarray]], batches: Iterator[pa.RecordBatch], k: int, scale: int) -> Iterator[pa.RecordBatch]:
     """The k best rows of this partition for every query. ``queries``: by vector length, ids and integer vectors."""
     best = {n: [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids) for n, (ids, _) in queries.items()}
+    reach = {n: largest(vectors) * max(n, 1) for n, (_, vectors) in queries.items()}
     for batch in batches:
         lists = batch.column("v")
-        values = np.asarray(lists.flatten(), dtype=np.int64)
+        values = np.asarray(lists.flatten(), dtype=np.float64)
         ids = np.asarray(batch.column("vec_id"), dtype=np.int64)
         offsets = np.concatenate(([0], np.cumsum(np.asarray(pc.list_value_length(lists)))))
         sizes = np.diff(offsets)
@@ -58,13 +82,25 @@ def search(queries: dict[int, tuple[np.ndarray, np.ndarray]], batches: Iterator[
             rows = np.flatnonzero(sizes == n)
             for i in range(0, len(rows), VECTOR_BLOCK):
                 part = rows[i : i + VECTOR_BLOCK]
-                block = Block(ids[part], values[offsets[part][:, None] + np.arange(n)])
+                exact = whole(values[offsets[part][:, None] + np.arange(n)], scale)
                 own, vectors = queries[n]
+                if largest(exact) * reach[n] >= SAFE or exact.dtype == object:
+                    # no bounds: floating point can't tell such products apart, so every one is taken exactly
+                    for q in range(len(own)):
+                        others = ids[part] != own[q]
+                        score = exact[others].astype(object) @ vectors[q].astype(object) if n else np.zeros(others.sum(), object)
+                        best[n][q] = merged(best[n][q], (score, ids[part][others]), k)
+                    continue
+                block = Block(ids[part], exact)
                 upper = block.bounds(vectors.astype(np.float64))
                 for q in range(len(own)):
                     best[n][q] = refine(block, own[q], vectors[q], upper[q], best[n][q], k)
     for n, (own, _) in queries.items():
         for q, (score, ids) in zip(own, best[n], strict=True):
+            if score.dtype == object:
+                if any(not -(1 << 63) <= s < 1 << 63 for s in score):
+                    raise OverflowError(f"a score of query {q} doesn't fit 64 bits")
+                score = score.astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), q)), pa.array(ids), pa.array(score)], ["query_id", "vec_id", "score"])
 
 
@@ -78,29 +114,28 @@ def refine(block: Block, own: int, query: np.ndarray, upper: np.ndarray, best: t
         if len(score) == k and upper[near[i]] < score[-1]:
             break
         read = near[i : i + step]
-        score, ids = np.concatenate((score, block.exact[read] @ query)), np.concatenate((ids, block.ids[read]))
-        top = better(score, ids, k)
-        score, ids = score[top], ids[top]
+        score, ids = merged((score, ids), (block.exact[read] @ query, block.ids[read]), k)
     return score, ids
 
 
-def integers(vectors: DataFrame, scale: int) -> DataFrame:
-    """``(vec_id, v)``: each component as floor(scale * x); rows that take no part are left out."""
-    parts = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.floor(x * scale))
-    whole = F.forall(F.col("embedding").cast("array<double>"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(LIMIT / scale)))
-    return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & whole).select(F.col("vec_id").cast("long").alias("vec_id"), parts.cast("array<long>").alias("v"))
+def finite(vectors: DataFrame) -> DataFrame:
+    """``(vec_id, v)`` of the rows that take part."""
+    v = F.col("embedding").cast("array<double>")
+    fits = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return vectors.where(F.col("vec_id").isNotNull() & v.isNotNull() & fits).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024) -> DataFrame:
     """``vectors(vec_id, embedding, ...)`` -> ``(query_id, rank, vec_id, score)``: each query's k best other rows.
 
-    The score is the inner product of ``floor(scale * x)``; ties go to the smaller vec_id. Rows with a null vec_id or
-    vector, or a null, non-finite or huge component, take no part; a product needs vectors of equal length. A query
+    The score is the inner product of ``floor(scale * x)``, exact for finite components of any size; one of the best that
+    64 bits can't hold raises an error. Ties go to the smaller vec_id. Rows with a null vec_id or
+    vector, or a null or non-finite component, take no part; a product needs vectors of equal length. A query
     whose vec_id repeats is searched once, with the least of its vectors; a repeated candidate row counts each
     time. With fewer candidates than k all are returned; without any, none. Other columns are ignored.
     """
     spark = vectors.sparkSession
-    rows = materialize(integers(vectors, scale))
+    rows = materialize(finite(vectors))
     asked = rows.withColumn("_q", is_query).where("_q").groupBy("vec_id").agg(F.min("v").alias("v"))
     asked = materialize(asked)
     total = asked.agg(F.sum(8 * (F.size("v") + 1))).first()[0] or 0
@@ -112,18 +147,23 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024)
         by_size: dict[int, list] = {}
         for r in part:
             by_size.setdefault(len(r.v), []).append(r)
-        queries = {n: (np.array([r.vec_id for r in rs], np.int64), np.array([r.v for r in rs], np.int64).reshape(len(rs), n)) for n, rs in by_size.items()}
+        queries = {n: (np.array([r.vec_id for r in rs], np.int64), whole(np.array([r.v for r in rs], np.float64).reshape(len(rs), n), scale)) for n, rs in by_size.items()}
         sent = spark.sparkContext.broadcast(queries)
-        found.append(spread.mapInArrow(partial(_search, sent=sent, k=k), "query_id long, vec_id long, score long"))
-    near = found[0]
+        near = spread.mapInArrow(partial(_search, sent=sent, k=k, scale=scale), "query_id long, vec_id long, score long")
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        best = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        if blocks > 1:  # one block after the other, so that only one is held
+            best = materialize(best)
+            sent.destroy()
+        found.append(best)
+    out = found[0]
     for more in found[1:]:
-        near = near.unionByName(more)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        out = out.unionByName(more)
+    return out
 
 
-def _search(batches: Iterator[pa.RecordBatch], sent, k: int) -> Iterator[pa.RecordBatch]:
-    return search(sent.value, batches, k)
+def _search(batches: Iterator[pa.RecordBatch], sent, k: int, scale: int) -> Iterator[pa.RecordBatch]:
+    return search(sent.value, batches, k, scale)
 
 
 def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:

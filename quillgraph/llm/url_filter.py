@@ -11,7 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-KEYS_PER_GROUP = 200_000  # keys that one sorted sweep holds, about; a host with more of them is dealt over several
+from .links import broadcast_if_few
+from .scratch import materialize
+
+KEYS_PER_GROUP = 20_000  # keys that one sorted sweep holds, about; a host with more of them is dealt over several
 
 RULES = (
     ("block", "com", "/en/"),
@@ -44,15 +47,21 @@ def suffixes(host: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
 
-def matched(urls: DataFrame, rules: DataFrame, groups: int) -> DataFrame:
-    """``urls(host, path)``, ``rules(host, path, rule, verdict)`` -> ``(host, path, rule, verdict)`` of URLs with a rule."""
+def matched(urls: DataFrame, rules: DataFrame, keys_per_group: int) -> DataFrame:
+    """``urls(host, path)``, ``rules(host, path, rule, verdict)`` -> ``(host, path, rule, verdict)`` of URLs with a rule.
+
+    Only a host of more than ``keys_per_group`` URLs is dealt over several sweeps, each of which gets that host's rules.
+    """
     rules = rules.select("host", "path", "rule", "verdict").groupBy("host", "path").agg(F.min_by("rule", F.struct("rule", "verdict")).alias("rule"), F.min_by("verdict", F.struct("rule", "verdict")).alias("verdict"))
     probes = urls.select(F.col("host").alias("full"), "path", F.explode(suffixes(F.col("host"))).alias("host"))
     probes = probes.join(rules.select("host").distinct(), "host", "left_semi")
-    deal = F.pmod(F.xxhash64("full", "path"), F.lit(groups)).cast("int")
+    dealt = probes.groupBy("host").agg(F.ceil(F.count("*") / keys_per_group).cast("int").alias("groups"))
+    dealt = broadcast_if_few(materialize(dealt))  # a row for each host that has rules and URLs
+    probes = probes.join(dealt, "host")
+    deal = F.pmod(F.xxhash64("full", "path"), F.col("groups")).cast("int")
     keys = probes.select("host", deal.alias("group"), canonical(F.col("host"), F.col("path")).alias("key"), F.lit(1).alias("kind"), F.lit(0).alias("step"), "full", "path", F.lit(None).cast("struct<rule:string,verdict:string,size:int>").alias("r"))
     own = F.struct("rule", "verdict", (F.length("host") + F.length("path")).alias("size"))
-    events = rules.select("host", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), canonical(F.col("host"), F.col("path")).alias("key"), own.alias("r"))
+    events = rules.join(dealt, "host").select("host", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), canonical(F.col("host"), F.col("path")).alias("key"), own.alias("r"))
     none = F.lit(None).cast("string")
     starts = events.select("host", "group", "key", F.lit(0).alias("kind"), F.lit(1).alias("step"), none.alias("full"), none.alias("path"), "r")
     ends = events.select("host", "group", F.concat("key", F.unhex(F.lit("FF")).cast("string")).alias("key"), F.lit(2).alias("kind"), F.lit(-1).alias("step"), none.alias("full"), none.alias("path"), "r")
@@ -76,8 +85,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", keys_per_g
     """
     pages = pages.select("page_id", host_of(F.col("url").cast("string")).alias("host"), path_of(F.col("url").cast("string")).alias("path"))
     urls = pages.where("host <> ''").groupBy("host", "path").agg(F.lit(1).alias("_one")).drop("_one")
-    groups = max(1, -(-pages.count() // keys_per_group))
-    found = matched(urls, rules, groups)
+    found = matched(urls, rules, keys_per_group)
     out = pages.join(found, ["host", "path"], "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 

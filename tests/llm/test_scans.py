@@ -331,6 +331,20 @@ def test_top_k_is_exact(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_large_components_are_exact_or_an_error(spark):
+    rng = random.Random(4)
+    vectors = [(i, [rng.choice([-1, 1]) * rng.choice([0.5, 1.4e6, 4e5, 1.0]) for _ in range(4)]) for i in range(60)]
+    got = topk_search.top_k(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+    exact = {i: [int(np.floor(x * 1024)) for x in v] for i, v in vectors}
+    want = []
+    for q in (0, 20, 40):
+        near = sorted((-sum(a * b for a, b in zip(exact[q], w, strict=True)), i) for i, w in exact.items() if i != q)[:10]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(near)]
+    assert sorted(map(tuple, got)) == sorted(want)
+    with pytest.raises(Exception, match="doesn't fit 64 bits"):
+        topk_search.top_k(spark.createDataFrame([(1, [1e300]), (2, [1e300])], "vec_id long, embedding array<double>"), F.lit(True)).collect()
+
+
 def test_query_blocks_give_the_same(spark, monkeypatch):
     df = spark.range(600).select(F.col("id").alias("vec_id"), F.array(*(F.sin(F.col("id") * k) for k in range(1, 6))).alias("embedding"))
     whole = sorted(map(tuple, topk_search.top_k(df, F.col("vec_id") % 50 == 0).collect()))
