@@ -643,19 +643,26 @@ def confidence_bands(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.round(score, 3).alias("score"), band.alias("band"))
 
 
-@query("symbol_scores", B.TRADE + """, f as (select id, regexp_replace(lower(label), '[^a-z0-9]', '', 'g') as n, regexp_replace(lower(source_file), '[^a-z0-9]', '', 'g') as p from nodes)
-select id, case when n = 'order12' then 4.0 when n = 'supplier000000003' then 2.5 else 0 end::double as score from f where n in ('order12', 'supplier000000003')""")
+@query("symbol_scores", B.TRADE + """, f as (
+  select id, regexp_replace(lower(l), '[^a-z0-9]', '', 'g') as n, regexp_replace(lower(source_file), '[^a-z0-9]', '', 'g') as p,
+         regexp_replace(lower(regexp_extract(regexp_replace(l, '\\(\\)$', ''), '[^.#:]*$')), '[^a-z0-9]', '', 'g') as tail
+  from (select *, regexp_replace(label, '^Supplier#0*', 'Supplier.s') as l from nodes)),
+asked(whole, tail, owner) as (values ('order12', 'order12', null), ('suppliers3', 's3', 'supplier'), ('partss4', 's4', 'parts'), ('s5', 's5', null)),
+scored as (select id, max(case when n = whole then 4.0 when owner is not null and f.tail = asked.tail and contains(p, owner) then 3.5
+                               when f.tail = asked.tail then case when owner is null then 2.5 else 3.0 end else 0 end) as score from f cross join asked group by id)
+select id, score::double as score from scored where score > 0""")
 def symbol_scores(spark, d):
-    score = interpret.symbol_score(F.regexp_replace("label", "^Supplier#0*", "Supplier.s"), F.col("source_file"), ["Order12", "s3"])
+    score = interpret.symbol_score(F.regexp_replace("label", "^Supplier#0*", "Supplier.s"), F.col("source_file"), ["Order12", "Supplier.s3", "Parts.s4", "s5"])
     return B.trade(spark, d).nodes.select("id", score.alias("score")).where("score > 0")
 
 
-ORACLE_SQL["symbol_scores"] = B.TRADE + " select id, case when id = 'o:12' then 4.0 else 2.5 end::double as score from nodes where id in ('o:12', 's:3')"
-
-
-@query("identifier_scores", B.TRADE + " select id, 1.2::double as score from nodes where contains(source_file, 'geo/nations.md')")
+@query("identifier_scores", B.TRADE + """, f as (select id, regexp_replace(lower(label), '[^a-z0-9]', '', 'g') as n, regexp_replace(lower(source_file), '[^a-z0-9]', '', 'g') as p from nodes),
+asked(k, words) as (values ('geonationsmd', 3), ('supplier000000003', 2), ('customer00000', 2)),
+scored as (select id, max(case when contains(n, k) or contains(p, k) then least(1.75, case when contains(n, k) then 1.1 + case when contains(p, k) then 0.35 else 0 end else 1.05 end
+                               + case when n = k then 0.2 else 0 end + least(0.35, greatest(0, words - 2) * 0.15)) else 0 end) as score from f cross join asked group by id)
+select id, round(score::double, 6) as score from scored where score > 0""")
 def identifier_scores(spark, d):
-    names = interpret.identifiers("What is in geo/nations.md today?")
+    names = interpret.identifiers("What do geo/nations.md and supplier_000000003 and customer-00000 hold today?")
     return B.trade(spark, d).nodes.select("id", F.round(interpret.identifier_score(F.col("label"), F.col("source_file"), names), 6).alias("score")).where("score > 0")
 
 
