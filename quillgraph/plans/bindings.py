@@ -123,9 +123,9 @@ incident as (select src as id, dst as neighbor from edges union select dst, src
 degrees as (select id, count(*) as degree from incident group by id),
 entities as (select * from nodes where source_file <> '' and contains(string_split(source_file, '/')[-1], '.') and label <> string_split(source_file, '/')[-1])"""
 
-SUPPLY = f"with nodes as ({_PLACE_NODES}), edges as ({_PLACE_EDGES}), {_DERIVED}"
-PLACES = f"with nodes as ({_PLACE_NODES}{_CUSTOMER_NODES}), edges as ({_PLACE_EDGES}{_CUSTOMER_EDGES}), {_DERIVED}"
-TRADE = f"with nodes as ({_PLACE_NODES}{_CUSTOMER_NODES}{_TRADE_NODES}), edges as ({_PLACE_EDGES}{_CUSTOMER_EDGES}{_TRADE_EDGES}), {_DERIVED}"
+SUPPLY = f"with nodes as materialized ({_PLACE_NODES}), edges as materialized ({_PLACE_EDGES}), {_DERIVED}"
+PLACES = f"with nodes as materialized ({_PLACE_NODES}{_CUSTOMER_NODES}), edges as materialized ({_PLACE_EDGES}{_CUSTOMER_EDGES}), {_DERIVED}"
+TRADE = f"with nodes as materialized ({_PLACE_NODES}{_CUSTOMER_NODES}{_TRADE_NODES}), edges as materialized ({_PLACE_EDGES}{_CUSTOMER_EDGES}{_TRADE_EDGES}), {_DERIVED}"
 
 
 def snapshots(old: str, new: str) -> str:

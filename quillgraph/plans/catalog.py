@@ -885,9 +885,9 @@ def freshness(spark, d):
     return files.freshness(o.withColumn("chosen", F.col("path") % 2 == 0), o.withColumn("fingerprint", F.when(F.col("path") % 11 == 0, "x").otherwise(F.col("fingerprint"))))
 
 
-@query("cache_misses", "select p_partkey, sha256(p_name) as hash from part where sha256(p_name) not in (select sha256(p_name) from part where p_size > 20)")
+@query("cache_misses", "with p as (select p_partkey, p_size, sha256(p_name || '/' || p_size) as hash from part) select p_partkey, hash from p where hash not in (select hash from p where p_size > 20)")
 def cache_misses(spark, d):
-    p = table(spark, d, "part").select("p_partkey", "p_size", F.col("p_name").cast("binary").alias("content"))
+    p = table(spark, d, "part").select("p_partkey", "p_size", F.concat_ws("/", "p_name", "p_size").cast("binary").alias("content"))
     return files.cache_misses(p, p.where("p_size > 20").select(F.sha2("content", 256).alias("hash"))).select("p_partkey", "hash")
 
 
