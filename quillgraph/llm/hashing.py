@@ -58,9 +58,9 @@ def joined(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"\n".join(parts) + b"\n", np.uint8), starts
 
 
-def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end of every run of non-space bytes, A-Z taken as a-z."""
-    inside = ~SPACE[data]
+def words(data: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of every run of bytes that aren't ``space``, A-Z taken as a-z."""
+    inside = ~space[data]
     edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
     begin, end = edge[::2], edge[1::2]
     if not len(begin):

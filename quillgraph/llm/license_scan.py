@@ -1,16 +1,15 @@
 """Licence detection by Dice's coefficient over word bigrams, with size bounds on the templates.
 
-The lines of a text that hold enough of the templates' bigrams form regions: each such line, and each run of them with
-the blank and one-word lines between. Within a run every shorter run is tried as well, so that licences which follow
-one another are told apart. A region is compared with the templates whose size can reach the threshold: with a and b bigrams,
-2 * min(a, b) / (a + b) bounds the coefficient. Hashes of all words of a batch are taken at once in numpy; only
-lines with template bigrams reach Python code.
+A region is any run of words. With a bigrams in it and b in a template, 2 * min(a, b) / (a + b) bounds the coefficient, so a
+template is compared only with runs of its own size bounds, and only where enough of its bigrams lie within so
+many words. There every run that begins and ends with one of them is measured: another can only be less similar.
+Of all runs and templates the best is taken, then the best of what it leaves, and so on.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+import bisect
+import heapq
 from collections.abc import Iterator
 from functools import partial
 
@@ -19,142 +18,133 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .hashing import LOWER, chunks
+from .hashing import chunks, mix, words
 from .license_templates import TEMPLATES
 
 THRESHOLD = 0.8
-SLOTS = 1 << 16
+TABLE_BITS = 18
 
 #: Letters, digits and all bytes of non-ASCII characters belong to words; the rest separates them.
-WORD_BYTE = np.zeros(256, bool)
-WORD_BYTE[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+BETWEEN = np.ones(256, bool)
+BETWEEN[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
 
-def words_of(text: str) -> list[str]:
-    return re.findall(r"[0-9a-z\x80-\U0010ffff]+", text.translate(ASCII_LOWER))
+def bigrams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word with its next one, and where each word begins."""
+    h, begin, _ = words(data, BETWEEN)
+    with np.errstate(over="ignore"):
+        return mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]), begin
 
 
-def bigrams(text: str) -> Counter:
-    """Bigrams of lower-cased words with their counts; one word alone gives itself."""
-    words = words_of(text)
-    return Counter(zip(words, words[1:], strict=False)) if len(words) > 1 else Counter((w, "") for w in words)
+class Template:
+    """A licence's bigrams with their counts, and the sizes of the regions that it may match."""
 
-
-ASCII_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
-
-
-def dice(a: Counter, b: Counter) -> float:
-    total = a.total() + b.total()
-    return 2 * (a & b).total() / total if total else 0.0
+    def __init__(self, name: str, grams: np.ndarray, threshold: float) -> None:
+        self.name, self.size = name, len(grams)
+        self.grams, self.counts = np.unique(grams, return_counts=True)
+        share = threshold / (2 - threshold)
+        self.longest = int(self.size / share + 1e-9)
+        self.needed = int(np.ceil(threshold * (np.ceil(share * self.size - 1e-9) + self.size) / 2 - 1e-9))
 
 
 class Templates:
-    """Templates by size, and a table of the slots that their bigrams hash to."""
+    """All templates, and a table of the places that their bigrams hash to."""
 
     def __init__(self, rows: tuple[tuple[str, str], ...], threshold: float) -> None:
-        self.rows = sorted(((b.total(), name, b) for name, b in ((n, bigrams(t)) for n, t in rows) if b), key=lambda r: r[:2])
-        self.sizes = np.array([r[0] for r in self.rows])
+        told = ((n, bigrams(np.frombuffer(t.encode() + b"\n", np.uint8))[0]) for n, t in rows)
+        self.rows = [Template(n, g, threshold) for n, g in told if len(g)]
         self.threshold = threshold
-        self.holders: dict[tuple[str, str], list[tuple[int, int]]] = {}
-        for t, (_, _, b) in enumerate(self.rows):
-            for g, n in b.items():
-                self.holders.setdefault(g, []).append((t, n))
-        self.slots = np.zeros(SLOTS, bool)
-        for _, t in rows:
-            data = np.frombuffer(t.encode() + b"\n", np.uint8)
-            slots, _ = bigram_slots(data)
-            self.slots[slots] = True
-        self.share = threshold / (2 - threshold)  # the least part of a region's bigrams that a template must hold
-
-    def best(self, region: Counter) -> tuple[str, float] | None:
-        """The most similar template at or above the threshold, ties to the first by name."""
-        n, found = region.total(), None
-        lo, hi = np.searchsorted(self.sizes, n * self.share - 1e-9), np.searchsorted(self.sizes, n / self.share + 1e-9, "right")
-        for _, name, b in self.rows[lo:hi]:
-            if (d := dice(region, b)) >= self.threshold and (found is None or (-d, name) < (-found[1], found[0])):
-                found = (name, d)
-        return found
-
-
-def bigram_slots(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The slot of each word with its next one, and where the word begins; equal bigrams share a slot wherever they stand."""
-    inside = WORD_BYTE[data]
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
-    begin, end = edge[::2], edge[1::2]
-    if len(begin) < 2:
-        return np.zeros(0, np.int64), begin[:0]
-    low = LOWER[data]
-    last, size = low[end - 1].astype(np.int64), (end - begin) & 31
-    key = (low[begin].astype(np.int64) * 37 + last * 11 + size * 131) & 0xFF
-    return (key[:-1] << 8 | key[1:]).astype(np.int64), begin[:-1]
-
-
-def regions(lines: list[str], likely: list[int]) -> Iterator[tuple[int, int]]:
-    """Each likely line, and each run of likely lines with lines of one word or none between them, as (first, last)."""
-    for i in likely:
-        yield i, i
-    run: list[int] = []
-    for i in likely:
-        if run and any(len(lines[k].split()) > 1 for k in range(run[-1] + 1, i)):
-            if len(run) > 1:
-                yield run[0], run[-1]
-            run = []
-        run.append(i)
-    if len(run) > 1:
-        yield run[0], run[-1]
-
-
-def parts(lines: list[str], run: list[int], templates: Templates) -> list[tuple[str, int, int, float]]:
-    """The best matches among all runs of two or more likely lines of ``run``, none overlapping a better one.
-
-    From each first line on, overlaps with the templates are carried along until the largest template is out of reach.
+        self.grams = np.unique(np.concatenate([t.grams for t in self.rows])) if self.rows else np.zeros(0, np.uint64)
+        self.some = np.zeros(1 << TABLE_BITS, bool)
+        self.some[self.slot(self.grams)] = True
+        self.holds = [np.isin(self.grams, t.grams) for t in self.rows]
+        self.caps = []
+        for t in self.rows:
+            cap = np.zeros(len(self.grams), int)
+            cap[np.searchsorted(self.grams, t.grams)] = t.counts
+            self.caps.append(cap)
+
+    @staticmethod
+    def slot(grams: np.ndarray) -> np.ndarray:
+        return (grams >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+
+    def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of bigrams that some template has, and which ones they are."""
+        at = np.flatnonzero(self.some[self.slot(grams)])
+        if not len(self.grams):
+            return at[:0], at[:0]
+        which = np.minimum(np.searchsorted(self.grams, grams[at]), len(self.grams) - 1)
+        known = self.grams[which] == grams[at]
+        return at[known], which[known]
+
+
+class Hits:
+    """Where one text may hold one template: places of its bigrams, and for each the place that lies as many occurrences back as count."""
+
+    def __init__(self, template: Template, place: np.ndarray, which: np.ndarray, cap: np.ndarray, threshold: float) -> None:
+        self.template, self.place, self.threshold = template, place, threshold
+        self.before = np.full(len(place), -1)
+        order = np.lexsort((place, which))
+        rank, caps = np.arange(len(order)), cap[which[order]]
+        begin = np.maximum.accumulate(np.where(np.append(True, np.diff(which[order]) != 0), rank, 0))
+        back = rank - caps
+        inside = back >= begin
+        self.before[order[inside]] = order[back[inside]]
+
+    def best(self, i: int, limit: int) -> tuple[float, int] | None:
+        """The highest coefficient of the runs that begin at hit ``i`` and end before word bigram ``limit``, and the last hit of the longest such."""
+        first = int(self.place[i])
+        end = int(np.searchsorted(self.place, min(limit, first + self.template.longest)))
+        if end - i < self.template.needed:
+            return None
+        shared = np.cumsum(self.before[i:end] < i)
+        dice = 2 * shared / (self.place[i:end] - first + 1 + self.template.size)
+        k = len(dice) - 1 - int(dice[::-1].argmax())
+        return (float(dice[k]), i + k) if dice[k] >= self.threshold else None
+
+
+def scan_text(place: np.ndarray, which: np.ndarray, templates: Templates) -> list[tuple[str, int, int, float]]:
+    """``(licence, first word, last word, coefficient)`` of one text's hits: the best run, then the best that doesn't overlap it, and so on.
+
+    Of equal ones the longer is better, then the earlier, then the first by name.
     """
-    words = [words_of(x) for x in lines[run[0] : run[-1] + 1]]
-    largest = templates.sizes[-1] / templates.share + 1e-9
-    found = []
-    for k, first in enumerate(run):
-        seen, overlap, total, before, at = Counter(), Counter(), 0, None, first
-        for last in run[k:]:
-            for w in (w for x in words[at - run[0] : last - run[0] + 1] for w in x):
-                if before is not None:
-                    total += 1
-                    seen[before, w] += 1
-                    for t, n in templates.holders.get((before, w), ()):
-                        overlap[t] += seen[before, w] <= n
-                before = w
-            at = last + 1
-            if total > largest:
-                break
-            if last > first and overlap:
-                d, name = min((-2 * n / (total + templates.rows[t][0]), templates.rows[t][1]) for t, n in overlap.items())
-                if -d >= templates.threshold:
-                    found.append((d, first - last, first, last, name))
-    taken, best = set(), []
-    for d, _, first, last, name in sorted(found):
-        if taken.isdisjoint(range(first, last + 1)):
-            taken.update(range(first, last + 1))
-            best.append((name, first, last, round(-d, 6)))
-    return best
+    found: list[Hits] = []
+    heap: list[tuple[float, int, int, str, int, int]] = []
+
+    def offer(t: int, i: int, limit: int) -> None:
+        if told := found[t].best(i, limit):
+            first, last = int(found[t].place[i]), int(found[t].place[told[1]])
+            heapq.heappush(heap, (-told[0], first - last, first, found[t].template.name, t, i))
+
+    for template, holds, cap in zip(templates.rows, templates.holds, templates.caps, strict=True):
+        own = holds[which]
+        p, n = place[own], template.needed
+        if len(p) < n or not (p[n - 1 :] - p[: len(p) - n + 1] < template.longest).any():
+            continue
+        found.append(Hits(template, p, which[own], cap, templates.threshold))
+        for i in np.flatnonzero(p[n - 1 :] - p[: len(p) - n + 1] < template.longest).tolist():
+            offer(len(found) - 1, i, 1 << 62)
+    taken: list[tuple[int, int]] = []  # words, both ends inclusive
+    out = []
+    while heap:
+        minus, shorter, first, name, t, i = heapq.heappop(heap)
+        last = first - shorter + 1  # a bigram's second word
+        at = bisect.bisect_right(taken, (first, 1 << 62))
+        if at and taken[at - 1][1] >= first:
+            continue
+        if at < len(taken) and taken[at][0] <= last:
+            offer(t, i, taken[at][0] - 1)
+            continue
+        taken.insert(at, (first, last))
+        out.append((name, first, last, round(-minus, 6)))
+    return sorted(out, key=lambda x: x[1])
 
 
 FOUND = "doc_id long, license string, first_line int, last_line int, dice double"
 
 
-def scan_text(text: str, hot_lines: list[int], templates: Templates) -> list[tuple[str, int, int, float]]:
-    """Matches of one text; a region inside a better or equal one of the same licence is left out."""
-    lines = text.split("\n")
-    found = []
-    for a, z in regions(lines, hot_lines):
-        hit = templates.best(bigrams("\n".join(lines[a : z + 1])))
-        if hit:
-            found.append((hit[0], a, z, round(hit[1], 6)))
-        if z > a:  # what the whole run already tells isn't told again
-            found += [x for x in parts(lines, [i for i in hot_lines if a <= i <= z], templates) if not hit or x[0] != hit[0]]
-    return [x for x in found if not any(y is not x and y[0] == x[0] and y[1] <= x[1] and x[2] <= y[2] and y[3] >= x[3] for y in found)]
-
-
 def _scan(batches: Iterator[pa.RecordBatch], templates: Templates) -> Iterator[pa.RecordBatch]:
-    least = templates.share / 2  # a line of a run may hold less than the run
+    least = min((t.needed for t in templates.rows), default=0)
     for batch in batches:
         for a, b in chunks(batch, "text"):
             part = batch.slice(a, b - a)
@@ -162,19 +152,22 @@ def _scan(batches: Iterator[pa.RecordBatch], templates: Templates) -> Iterator[p
             starts = np.zeros(len(raw) + 1, np.int64)
             np.cumsum([len(x) + 1 for x in raw], out=starts[1:])
             data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+            grams, begin = bigrams(data)
+            at, which = templates.hits(grams)
+            doc = np.searchsorted(starts, begin[at], "right") - 1
+            inside = begin[np.minimum(at + 1, len(begin) - 1)] < starts[doc + 1] if len(at) else at.astype(bool)
+            at, which, doc = at[inside], which[inside], doc[inside]
             breaks = np.flatnonzero(data == 10)
-            slots, begin = bigram_slots(data)
-            line = np.searchsorted(breaks, begin)
-            same = line[:-1] == line[1:] if len(line) else line[:0]
-            within = np.append(same, False) if len(line) else line.astype(bool)
-            total = np.bincount(line[within], minlength=len(breaks))
-            held = np.bincount(line[within & templates.slots[slots]], minlength=len(breaks))
-            hot = np.flatnonzero((held > 0) & (held >= least * total))
-            doc = np.searchsorted(starts, breaks[hot], "right") - 1
             ids, rows = part.column("doc_id").to_pylist(), []
-            for d in np.unique(doc).tolist():
+            edge = np.flatnonzero(np.append(True, np.diff(doc) != 0))[: len(doc)]
+            for x, y in zip(edge.tolist(), [*edge[1:].tolist(), len(doc)][: len(edge)], strict=True):
+                if y - x < least:
+                    continue
+                d = int(doc[x])
                 zero = int(np.searchsorted(breaks, starts[d]))
-                rows += [(ids[d], *x) for x in scan_text(raw[d].decode(), (hot[doc == d] - zero).tolist(), templates)]
+                for name, first, last, dice in scan_text(at[x:y], which[x:y], templates):
+                    lines = np.searchsorted(breaks, begin[[first, last]]) - zero
+                    rows.append((ids[d], name, int(lines[0]), int(lines[1]), dice))
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "license", "first_line", "last_line", "dice"])
@@ -183,9 +176,9 @@ def _scan(batches: Iterator[pa.RecordBatch], templates: Templates) -> Iterator[p
 def licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> ``(doc_id, license, first_line, last_line, dice)``, a row per region that matches.
 
-    Lines are numbered from 0. Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased. A line of
-    one word is compared only as part of a run. Of the runs inside a run the best that don't overlap give rows, except
-    for the licence that the whole run matches. Null, empty and other texts without a match give no row; repeated
+    Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased; a region is a run of words, within a
+    line or over several, and the lines of its first and last word are numbered from 0. Regions don't overlap: the best comes
+    first, of equal ones the longer, the earlier and the first by name. Null, empty and other texts without a match give no row; repeated
     rows and null doc_ids are scanned row by row; texts of any length are scanned whole. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
