@@ -2,8 +2,9 @@
 
 Every line is good or bad. A line's features describe its characters and words and those of its neighbours; two
 states and their transitions form the chain. Forward-backward marginals of the good state, weighted by the lines'
-lengths, give the document's score. The field is trained on labelled documents, whose lines all carry the document's
-label, by gradient ascent on the penalised likelihood. All passes run over many documents at once in numpy.
+lengths, give the document's score. The field is trained on labelled documents. Which of their lines are good isn't known:
+by expectation maximisation each document's marginals are shifted until as large a share of it is good as its label
+says, which leaves some lines of good documents bad and the other way round, and the field is fitted to those. All passes run over many documents at once in numpy.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 from .hashing import chunks, joined, mix, words
 
 SAMPLE_DOCUMENTS = 6000  # labelled documents that the field is trained on at most
-SAMPLE_CHARS = 100_000  # longer documents are left out of training only
+SAMPLE_CHARS, SAMPLE_LINES = 100_000, 200  # documents with more are left out of training only, so the driver gets 160 MB at most
+SHARE = {0: 0.1, 1: 0.9}  # of a document's characters in good lines, by its label
 CUT = 0.3
 
 LETTER, CAPITAL, DIGIT, SPACE, STOP, BAR, SHOUT, SYMBOL, LEAD, TRAIL = range(10)
@@ -122,21 +124,39 @@ class Field:
         return 1 / (1 + np.exp(-(self.slope * self.shares(*line_features(col)) + self.shift)))
 
 
-def train(x: np.ndarray, chars: np.ndarray, offsets: np.ndarray, labels: np.ndarray, rounds: int = 150, penalty: float = 2.0) -> Field:
-    """Adam on the penalised log-likelihood, every document counting alike."""
-    chains, sizes = Chains(offsets), np.diff(offsets)
-    gold = np.repeat(labels, sizes).astype(np.float64)
-    seen = np.zeros((2, 2))
-    for k in (0, 1):
-        seen[k, k] = (sizes[labels == k] - 1).sum()
+def expected(chains: Chains, good: np.ndarray, change: np.ndarray, weight: np.ndarray, offsets: np.ndarray, share: np.ndarray, steps: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals and expected transitions once each document's scores are shifted so that ``share`` of its weight is good."""
+    sizes = np.diff(offsets)
+    low, high = np.full(len(sizes), -12.0), np.full(len(sizes), 12.0)
+    for _ in range(steps):
+        middle = (low + high) / 2
+        p, pairs, _ = chains.marginals(good + np.repeat(middle, sizes), change)
+        more = np.add.reduceat(p * weight, offsets[:-1]) / np.add.reduceat(weight, offsets[:-1]) < share
+        low, high = np.where(more, middle, low), np.where(more, high, middle)
+    return p, pairs
+
+
+def train(x: np.ndarray, chars: np.ndarray, offsets: np.ndarray, labels: np.ndarray, turns: int = 4, rounds: int = 40, penalty: float = 2.0) -> Field:
+    """Expectation maximisation; each maximisation by Adam on the penalised log-likelihood, every line counting alike."""
+    chains, sizes, weight = Chains(offsets), np.diff(offsets), chars + 1e-9
+    share = np.array([SHARE[int(n)] for n in labels])
     theta = np.zeros(x.shape[1] + 4)
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
-    for step in range(1, rounds + 1):
-        good, pairs, _ = chains.marginals(x @ theta[:-4], theta[-4:].reshape(2, 2))
-        grad = np.concatenate((x.T @ (gold - good), (seen - pairs).ravel())) - penalty * theta
-        grad /= len(gold)
-        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-        theta = theta + 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    theta[[-4, -1]] = 1.0  # neighbours tend to be alike
+    for turn in range(turns):
+        if turn == 0:  # nothing is known of single lines yet
+            gold, seen = np.repeat(share, sizes), np.zeros((2, 2))
+            for n, k in zip(share, sizes - 1, strict=True):
+                seen += k * np.array([[1 - n, 0.0], [0.0, n]])
+            seen = 0.9 * seen + 0.1 * seen.sum() / 4
+        else:
+            gold, seen = expected(chains, x @ theta[:-4], theta[-4:].reshape(2, 2), weight, offsets, share)
+        m, v = np.zeros_like(theta), np.zeros_like(theta)
+        for step in range(1, rounds + 1):
+            good, pairs, _ = chains.marginals(x @ theta[:-4], theta[-4:].reshape(2, 2))
+            grad = np.concatenate((x.T @ (gold - good), (seen - pairs).ravel())) - penalty * theta
+            grad /= len(gold)
+            m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
+            theta = theta + 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     field = Field(theta[:-4], theta[-4:].reshape(2, 2))
     field.slope, field.shift = calibrated(field.shares(x, chars, offsets), labels)
     return field
@@ -163,12 +183,12 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCUMENTS) -> Field | None:
-    """A field from at most ``most`` labelled documents, those with the lowest hash of their id; None without both labels.
+    """A field from at most ``most`` labelled documents of at most ``SAMPLE_CHARS`` characters and ``SAMPLE_LINES`` lines, those with the lowest hash of their id; None without both labels.
 
     ``labels(doc_id, quality)``: rows with a null in either count as unlabelled; a doc_id with several labels takes the least.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("label"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= SAMPLE_CHARS)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where((F.length("text") <= SAMPLE_CHARS) & (F.length("text") - F.length(F.replace("text", F.lit("\n"))) < SAMPLE_LINES))
     chosen = texts.select("doc_id").join(known, "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     sample = texts.join(F.broadcast(chosen), "doc_id")  # at most ``most`` rows
     rows = sorted((r.label, bytes(r.x)) for r in sample.select("label", "text").mapInArrow(_features, "label int, x binary").collect())
@@ -180,23 +200,23 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCUMENTS) -> Fie
     return train(x[:, :-1], x[:, -1], np.concatenate(([0], np.cumsum([len(x) for x in xs]))), np.array([r[0] for r in rows]))
 
 
-def _score(batches: Iterator[pa.RecordBatch], field: Field | None) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], field: Field | None, name: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in chunks(batch, "text", 1 << 21):
             part = batch.slice(a, b - a)
             score = field.scores(part.column("text")) if field else np.full(len(part), 0.5)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], [*part.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], [*part.schema.names, name])
 
 
-def quality(docs: DataFrame, field: Field | None) -> DataFrame:
-    """``docs(..., text, ...)`` with a ``score`` column (0 to 1) that replaces one of that name.
+def quality(docs: DataFrame, field: Field | None, name: str = "score") -> DataFrame:
+    """``docs(..., text, ...)`` with a column ``name`` (0 to 1) that replaces one of that name.
 
     A null text counts as empty. Without a field, as when labels are missing, every score is 0.5. Every row is scored
     from its own text only, whole, so repeated rows score alike.
     """
-    docs = docs.drop("score").withColumn("text", F.col("text").cast("string"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", score double"
-    return docs.mapInArrow(partial(_score, field=field), schema)
+    docs = docs.drop(name).withColumn("text", F.col("text").cast("string"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{name}` double"
+    return docs.mapInArrow(partial(_score, field=field, name=name), schema)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -207,8 +227,10 @@ def held_out(doc_id: Column) -> Column:
 def accept(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """``docs`` without the documents that score below ``cut``, their text and columns as they were."""
     field = fit(docs, labels.where(~held_out(F.col("doc_id"))))
-    kept = docs.drop("score") if "score" in docs.columns else docs
-    return quality(kept, field).where(F.col("score") >= cut).select(*kept.columns)
+    name = "score"
+    while name in docs.columns:
+        name = f"_{name}"
+    return quality(docs, field, name).where(F.col(name) >= cut).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -290,6 +290,22 @@ def test_marginals_match_enumeration():
     assert z == pytest.approx(total) and pairs == pytest.approx(both)
 
 
+def test_lines_of_a_document_can_differ():
+    rng = np.random.default_rng(3)
+    offsets = np.array([0, 6, 7, 20])
+    weight, share = rng.integers(1, 90, 20).astype(float), np.array([0.9, 0.9, 0.1])
+    p, pairs = quality.expected(quality.Chains(offsets), rng.normal(size=20), np.array([[1.0, 0.0], [0.0, 1.0]]), weight, offsets, share, 30)
+    assert np.add.reduceat(p * weight, offsets[:-1]) / np.add.reduceat(weight, offsets[:-1]) == pytest.approx(share, abs=1e-3)
+    assert np.ptp(p[:6]) > 0.01 and pairs.sum() == pytest.approx(5 + 12)
+
+
+def test_accept_keeps_every_column(spark):
+    d = "/root/testdata/sf0.001"
+    table = spark.read.parquet(f"{d}/documents.parquet").withColumn("score", F.lit("clash")).withColumn("_score", F.lit(7))
+    out = quality.accept(table, spark.read.parquet(f"{d}/labels.parquet"))
+    assert out.columns == table.columns and {(r.score, r._score) for r in out.collect()} == {("clash", 7)}
+
+
 def test_held_out_accuracy_and_odd_rows(spark):
     d = "/root/testdata/sf0.01"
     table = spark.read.parquet(f"{d}/documents.parquet")
