@@ -121,11 +121,21 @@ def fuse(rankings: list[tuple[DataFrame, float]], constant: int = 10) -> DataFra
     return reduce(DataFrame.union, parts).groupBy("id").agg(F.sum("x").alias("fused"))
 
 
-def ranked(scores: DataFrame, column: str, most: int = 1000) -> DataFrame:
-    """``(id, place)`` of the ``most`` best rows with a positive ``column``; beyond them a rank adds next to nothing."""
-    top = scores.where(F.col(column) > 0).orderBy(F.desc(column), F.desc("total"), F.desc("degree"), "label", "file", "id").limit(most)
-    order = Window.orderBy(F.desc(column), F.desc("total"), F.desc("degree"), "label", "file", "id")
-    return top.select("id", F.row_number().over(order).alias("place"))
+def placed(rows: DataFrame, *order: Column) -> DataFrame:
+    """``(id, place)``: the place from 1 of every row in a total ``order``, without one task that sorts them all.
+
+    Rows are dealt by ranges of the order and written; a row's place is its number there and the rows of earlier ranges.
+    """
+    dealt = staged(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    before = F.sum("rows").over(Window.orderBy("part")) - F.col("rows")  # a row per task
+    earlier = dealt.groupBy("part").agg(F.count("*").alias("rows")).select("part", before.alias("earlier"))
+    here = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    return dealt.withColumn("here", here).join(F.broadcast(earlier), "part").select("id", (F.col("earlier") + F.col("here")).alias("place"))
+
+
+def ranked(scores: DataFrame, column: str) -> DataFrame:
+    """``(id, place)`` of all rows with a positive ``column``."""
+    return placed(scores.where(F.col(column) > 0), F.desc(column), F.desc("total"), F.desc("degree"), F.asc("label"), F.asc("file"), F.asc("id"))
 
 
 def fused_seeds(scores: DataFrame) -> DataFrame:

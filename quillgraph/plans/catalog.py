@@ -459,9 +459,9 @@ def _tf(token: str, tokens: str) -> str:
 _Q = "[" + ", ".join(f"'{t}'" for t in ASKED) + "]"
 
 
-@query("tokens", f"select doc_id, list_filter({tok('substr(text, 1, 400)')}, lambda t: true) as tokens from documents")
+@query("tokens", f"select doc_id, list_filter({tok('text')}, lambda t: true) as tokens from documents")
 def tokens(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.tokens(F.substring("text", 1, 400)).alias("tokens"))
+    return table(spark, d, "documents").select("doc_id", T.tokens("text").alias("tokens"))
 
 
 @query("token_weights", B.TRADE + f""", t as (select {tok('label')} as t from nodes), q as (select unnest({_Q}) as token),
@@ -496,12 +496,11 @@ def simple_scores(spark, d):
 
 
 @query("rank_fusion", B.TRADE + """, x as (select id, row_number() over (order by degree desc, id) as a, row_number() over (order by id) as b from degrees)
-select id, round(2.0 / (10 + a) + 1.5 / (10 + b), 9) as fused from x where a <= 100 and b <= 100 union all select id, round(2.0 / (10 + a), 9) from x where a <= 100 and b > 100 union all select id, round(1.5 / (10 + b), 9) from x where a > 100 and b <= 100""")
+select id, round(2.0 / (10 + a) + 1.5 / (10 + b), 9) as fused from x""")
 def rank_fusion(spark, d):
     g = B.trade(spark, d)
-    a = g.degrees.orderBy(F.desc("degree"), "id").limit(100).select("id", F.row_number().over(Window.orderBy(F.desc("degree"), "id")).alias("place"))
-    b = g.degrees.orderBy("id").limit(100).select("id", F.row_number().over(Window.orderBy("id")).alias("place"))
-    return retrieve.fuse([(a, 2.0), (b, 1.5)]).select("id", F.round("fused", 9).alias("fused"))
+    by_degree, by_id = retrieve.placed(g.degrees, F.desc("degree"), F.asc("id")), retrieve.placed(g.degrees, F.asc("id"))
+    return retrieve.fuse([(by_degree, 2.0), (by_id, 1.5)]).select("id", F.round("fused", 9).alias("fused"))
 
 
 @query("seed_scores")
@@ -601,7 +600,7 @@ def feature_map(spark, d):
 
 # --- budgets and sessions
 
-_ITEMS = "with items as (select l_suppkey as pool, l_partkey as id, sum(l_quantity) as score, cast(count(*) * 7 + l_partkey % 5 as double) as token_cost from lineitem where l_suppkey < 20 group by 1, 2)"
+_ITEMS = "with items as (select l_suppkey as pool, l_partkey as id, sum(l_quantity) as score, cast(count(*) * 7 + l_partkey % 5 as double) as token_cost from lineitem group by 1, 2)"
 
 
 def _items(spark, d):
@@ -616,7 +615,7 @@ def knapsack(spark, d):
 
 @query("prefix_pack", _ITEMS + ", r as (select *, sum(token_cost) over w as s, row_number() over w as n from items window w as (partition by pool order by id)), x as (select *, max(case when s > 60 and n > 1 then 1 else 0 end) over (partition by pool order by id) as stop from r) select pool, id, score, token_cost from x where stop = 0")
 def prefix_pack(spark, d):
-    return budget.prefix_pack(_items(spark, d).where("pool < 20"), 60, order=("id",)).select("pool", "id", "score", "token_cost")
+    return budget.prefix_pack(_items(spark, d), 60, order=("id",)).select("pool", "id", "score", "token_cost")
 
 
 @query("compile_pack")
@@ -726,11 +725,11 @@ def federate(spark, d):
     return federation.federate({"a": part, "b": part}).edges.select("src", "dst", "relation")
 
 
-@query("line_ranges", """with s as (select l_suppkey as file, cast(l_orderkey % 100 as integer) as first, cast(l_orderkey % 100 + 5 as integer) as last, l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || floor(l_extendedprice)::bigint as id from lineitem where l_suppkey < 5),
-c as (select distinct l_suppkey as file, cast(l_partkey % 40 as integer) as first, cast(l_partkey % 40 + 2 as integer) as last from lineitem where l_suppkey < 5 and l_partkey % 50 = 0)
+@query("line_ranges", """with s as (select l_suppkey as file, cast(l_orderkey % 100 as integer) as first, cast(l_orderkey % 100 + 5 as integer) as last, l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || floor(l_extendedprice)::bigint as id from lineitem),
+c as (select distinct l_suppkey as file, cast(l_partkey % 40 as integer) as first, cast(l_partkey % 40 + 2 as integer) as last from lineitem where l_partkey % 50 = 0)
 select s.file, id, s.first, s.last, c.first as c_first, c.last as c_last from s join c on s.file = c.file and s.first <= c.last and c.first <= s.last""")
 def line_ranges(spark, d):
-    lines = table(spark, d, "lineitem").where("l_suppkey < 5")
+    lines = table(spark, d, "lineitem")
     id_ = F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), F.floor("l_extendedprice").cast("long").cast("string"))
     symbols = lines.select(F.col("l_suppkey").alias("file"), (F.col("l_orderkey") % 100).cast("int").alias("first"), (F.col("l_orderkey") % 100 + 5).cast("int").alias("last"), id_.alias("id"))
     changed = lines.where("l_partkey % 50 = 0").select(F.col("l_suppkey").alias("file"), (F.col("l_partkey") % 40).cast("int").alias("first"), (F.col("l_partkey") % 40 + 2).cast("int").alias("last")).distinct()

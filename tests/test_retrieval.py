@@ -166,3 +166,10 @@ def test_packing_queries_take_every_pool(spark, name):
     d = "/root/testdata/sf0.01"
     pools = spark.read.parquet(f"{d}/lineitem.parquet").select("l_suppkey").distinct().count()
     assert pools > 20 and QUERIES[name](spark, d).select("pool").distinct().count() == pools
+
+
+def test_places_of_all_rows(spark):
+    scores = spark.range(0, 3000, 1, 7).selectExpr("id", "cast(id % 40 as double) as score", "0 as total", "0 as degree", "'' as label", "'' as file")
+    want = {r: i for i, r in enumerate(sorted((r for r in range(3000) if r % 40), key=lambda r: (-(r % 40), r)), 1)}
+    assert dict(rows(retrieve.ranked(scores, "score").select("id", "place"))) == want
+    assert retrieve.ranked(scores.where("id < 0"), "score").count() == 0
