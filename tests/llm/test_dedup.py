@@ -202,6 +202,34 @@ def test_crowded_blocks_lose_no_link(spark):
     assert got == {i: g.find(i) for i in range(len(lines))}
 
 
+@pytest.mark.parametrize("similarity", [0.8, 0.5])
+def test_every_link_of_mixed_edits(spark, similarity):
+    """Pairs with the most edits that count, words added and dropped among them; half the lines share a phrase or nearly all their words."""
+    rng = random.Random(17)
+    lines = []
+    for n in [*range(3, 60), 80, 130, 260]:
+        for phrase in (0, 0, 6):
+            base = [*"all lines begin with these six".split()[:phrase], *prose(rng, n).split()]
+            most = int((1 - similarity) * len(base) + 1e-7)
+            lines += [" ".join(base), *(" ".join(edited(rng, base, most, ["replace", "add", "drop"])) for _ in range(2))]
+    few = [f"w{i}" for i in range(12)]
+    for _ in range(150):
+        base = [rng.choice(few) for _ in range(rng.randint(10, 20))]
+        lines += [" ".join(base), " ".join(edited(rng, base, int((1 - similarity) * len(base) + 1e-7), ["replace", "add", "drop"]))]
+    lines = [x for x in lines if x]
+    got = {r.line_no: r.first_line_no for r in line_groups(docs(spark, [(1, "\n".join(lines))]), similarity).collect()}
+    g, split = Groups(), [x.split() for x in lines]
+    for i, a in enumerate(split):
+        g.find(i)
+        for j, b in enumerate(split[:i]):
+            most = int((1 - similarity) * max(len(a), len(b)) + 1e-7)
+            shared = sum((Counter(a) & Counter(b)).values())
+            if max(len(a), len(b)) - shared <= most and edits(a, b) <= most:
+                g.join(i, j)
+    lost = sum(got[i] != g.find(i) for i in got)
+    assert got == {i: g.find(i) for i in range(len(lines))}, f"{lost} of {len(lines)} lines in another group"
+
+
 def test_short_lines_long_lines_and_unicode_punctuation(spark):
     rng = random.Random(9)
     lines = []
