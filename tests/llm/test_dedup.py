@@ -9,6 +9,7 @@ import pytest
 from helpers import Groups, docs, prose
 from pyspark.sql import functions as F
 
+from quillgraph.llm import line_dedup
 from quillgraph.llm.line_dedup import drop_repeated_lines, line_groups
 from quillgraph.llm.links import connected_components, linked_groups
 from quillgraph.llm.near_dedup import estimate, keep_one_of_each, merge, near_duplicates, registers
@@ -257,3 +258,17 @@ def test_dropped_lines(spark):
     assert drop_repeated_lines(docs(spark, [])).count() == 0
     clash = docs(spark, [(1, "alpha one\nbeta two"), (2, "alpha one")], "_id", "_gone", "lines", "left", "row", "gone_id")
     assert drop_repeated_lines(clash).columns == clash.columns and drop_repeated_lines(clash).count() == 1
+
+
+def test_letters_are_fetched_for_few_pairs(spark, monkeypatch):
+    """Long lines that share a phrase are told apart by their marks, and of near copies one pair a line is compared by its letters."""
+    rng = random.Random(23)
+    phrase = [f"sharedphraseofwords{i}" for i in range(8)]
+    unlike = [" ".join([*phrase, *prose(rng, 150).split()]) for _ in range(40)]
+    base = prose(rng, 60).split()
+    near = [" ".join(edited(rng, base, 1, ["replace"])) for _ in range(40)]
+    compared, whole = [], line_dedup.similar
+    monkeypatch.setattr(line_dedup, "similar", lambda pairs, texts: compared.append(pairs.count()) or whole(pairs, texts))
+    got = {r.line_no: r.first_line_no for r in line_groups(docs(spark, [(1, "\n".join(unlike + near))])).collect()}
+    assert got == {i: min(i, 40) for i in range(80)}
+    assert sum(compared) <= 80, compared
