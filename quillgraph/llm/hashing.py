@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,6 +52,15 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator
         yield start, len(sizes)
 
 
+def give_back() -> None:
+    """Return a worker's free memory to the system: Spark keeps idle workers, beside the JVM that the next stage needs it for."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def joined(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts of a column, each followed by a line feed, and where each text starts."""
     parts = [x or b"" for x in col.cast(pa.binary()).to_pylist()]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .hashing import chunks, joined, mix, words
+from .hashing import chunks, give_back, joined, mix, words
 
 SAMPLE_DOCUMENTS = 6000  # labelled documents that the field is trained on at most
 SAMPLE_CHARS, SAMPLE_LINES = 100_000, 200  # documents with more are left out of training only, so the driver gets 160 MB at most
@@ -180,6 +180,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = np.column_stack((x, chars))
             rows = [x[i:j].astype(np.float32).tobytes() for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(rows, pa.binary())], ["label", "x"])
+    batch = part = x = chars = rows = None
+    give_back()
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCUMENTS) -> Field | None:
@@ -206,6 +208,8 @@ def _score(batches: Iterator[pa.RecordBatch], field: Field | None, name: str) ->
             part = batch.slice(a, b - a)
             score = field.scores(part.column("text")) if field else np.full(len(part), 0.5)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], [*part.schema.names, name])
+    batch = part = score = None
+    give_back()
 
 
 def quality(docs: DataFrame, field: Field | None, name: str = "score") -> DataFrame:

@@ -1,9 +1,10 @@
 from __future__ import annotations
 
 import corpus_pipeline
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quillgraph.llm import queries
+from quillgraph.llm import quality, queries
 
 
 def test_stages_in_order():
@@ -25,3 +26,12 @@ def test_every_stage_works_on_what_is_left(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, d)
     assert packed.select("doc_id").distinct().count() == docs.count()
     assert corpus_pipeline.run(spark, d).count() == packed.count()
+
+
+def test_scoring_workers_return_their_memory(monkeypatch):
+    texts = pa.RecordBatch.from_arrays([pa.array(["some words here\nand there"] * 20)], ["text"])
+    events = []
+    monkeypatch.setattr(quality, "give_back", lambda: events.append("back"))
+    for out in quality._score(iter([texts, texts]), None, "score"):
+        events.append(out.num_rows)
+    assert events == [20, 20, "back"]
