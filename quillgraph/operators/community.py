@@ -62,10 +62,13 @@ def split(ids: list[str], pairs: list[tuple[str, str, float]], total: float, dep
         groups.setdefault(home[node], []).append(node)
     if depth >= 0 and len(groups) <= 1:
         return [ids]
+    inner: dict[int, list[tuple[str, str, float]]] = {}
+    for p in pairs:
+        if home[p[0]] == home[p[1]]:
+            inner.setdefault(home[p[0]], []).append(p)
     out: list[list[str]] = []
-    for group in groups.values():
-        inside = set(group)
-        own = [p for p in pairs if p[0] in inside and p[1] in inside]
+    for k, group in groups.items():
+        own = inner.get(k, [])
         if len(group) > LARGEST and depth + 1 < DEEPEST and own:
             out += split(group, own, sum(w for *_, w in own), depth + 1)
         else:
@@ -73,6 +76,11 @@ def split(ids: list[str], pairs: list[tuple[str, str, float]], total: float, dep
     return out
 
 
+def with_first(groups: list[list[str]]) -> list[tuple[str, str]]:
+    """Each node with the least one of its group, found once a group."""
+    return [(node, first) for first, group in ((min(g), g) for g in groups) for node in group]
+
+
 def communities(graph: PropertyGraph) -> DataFrame:
     """``(id, community)``: numbered from 0 by size, then by the first member.
 
@@ -92,7 +100,7 @@ def communities(graph: PropertyGraph) -> DataFrame:
         ids = pdf[pdf.b.isna()].a.tolist()
         pairs = list(pdf[pdf.b.notna()][["a", "b", "w"]].itertuples(index=False, name=None))
         found = split(ids, pairs, total) if pairs else [[i] for i in ids]
-        return pd.DataFrame([(node, min(g)) for g in found for node in g], columns=["id", "first"])
+        return pd.DataFrame(with_first(found), columns=["id", "first"])
 
     grouped = staged(rows.groupBy("component").applyInPandas(lambda pdf: groups(pdf), "id string, first string"))
     return numbered(grouped)
