@@ -1,7 +1,11 @@
 """Steps whose cost has to follow the input."""
 
 
-from quillgraph.operators import community
+from graphs import graph
+
+from quillgraph.operators import analyze, budget, centrality, community, metrics
+from quillgraph.operators.graph import EDGE_COLUMNS, NODE_COLUMNS, PropertyGraph, conformed
+from quillgraph.plans import staging
 
 
 
@@ -35,3 +39,39 @@ def test_pairs_are_not_read_again_for_each_group():
     found = community.split(ids, pairs, float(len(pairs)))
     assert pairs.read <= 2
     assert sorted(x for g in found for x in g) == ids
+
+
+def stored_graph(spark, folder, edges):
+    """A graph read from files, whose size is therefore known."""
+    g = graph(spark, edges)
+    g.nodes.write.parquet(f"{folder}/nodes")
+    g.edges.write.parquet(f"{folder}/edges")
+    return PropertyGraph(spark.read.parquet(f"{folder}/nodes"), spark.read.parquet(f"{folder}/edges"), True)
+
+
+EDGES = [(f"n{i % 50:02}", f"n{(i * 7 + i // 50) % 60:02}") for i in range(500)] + [("n01", "n01"), ("n07", "n01"), ("n01", "n07")]
+
+
+def test_pairs_are_grouped_by_tasks_that_grow_in_number(spark, tmp_path, monkeypatch):
+    g = stored_graph(spark, tmp_path, EDGES)
+    monkeypatch.setattr(staging, "TASK_BYTES", staging.stored_bytes(g.edges) // 40)
+    assert g.incident.select("id").rdd.getNumPartitions() >= 40
+    want = {(a, b) for x, y in EDGES for a, b in ((x, y), (y, x))}
+    assert sorted(map(tuple, g.incident.collect())) == sorted(want)
+    assert {r.id: r.degree for r in g.degrees.collect()} == {n: sum(a == n for a, _ in want) for n in {a for a, _ in want}}
+    plan = g.incident._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan[plan.rindex("REPARTITION_BY_NUM") :]  # no table of pairs before they are dealt
+
+
+def test_incident_keeps_null_ends(spark):
+    edges = spark.createDataFrame([("a", None), (None, "a"), ("a", "b"), (None, None)], "src string, dst string")
+    g = PropertyGraph(conformed(spark.createDataFrame([("a",)], "id string"), NODE_COLUMNS), conformed(edges, EDGE_COLUMNS))
+    assert sorted(map(str, map(tuple, g.incident.collect()))) == sorted(map(str, [("a", None), (None, "a"), ("a", "b"), ("b", "a"), (None, None)]))
+
+
+def test_knapsack_places_each_item_once(spark):
+    items = [("p", "x", 3.0, 2.0), ("p", "x", 3.0, 2.0), ("p", "y", 1.0, 3.0), ("q", "x", 1.0, 4.0)] + [("r", f"i{i:05}", 1.0, 0.0) for i in range(30000)]
+    got = budget.knapsack(spark.createDataFrame(items, "pool string, id string, score double, token_cost double"), 5)
+    assert got.columns == ["pool", "id", "score", "token_cost", "density", "place", "included"]
+    assert sorted((r.id, r.place, r.included) for r in got.where("pool <> 'r'").collect()) == [("x", 1, True), ("x", 1, True), ("x", 2, True), ("y", 3, False)]
+    assert got.where("pool = 'r' and included").count() == 30000
