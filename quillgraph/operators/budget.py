@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from quillgraph.functions.text import round_half_up
 
@@ -20,23 +24,32 @@ def knapsack(items: DataFrame, budget: float, keys: tuple[str, ...] = ("pool",),
 
     Greedy by score per token: an item that doesn't fit is passed over, and later ones may still fit. Free items are
     pinned. Ties go to the higher score, the lower cost, then the id. Items with a score or cost that isn't finite,
-    or a negative cost, are left out. The fold is exact and runs in one row per pool: a pool has to fit in one.
+    or a negative cost, are left out. The fold is exact, takes a step an item and holds one batch of a pool at a time.
     """
     finite = lambda n: F.col(n).isNotNull() & ~F.isnan(n) & (F.abs(n) < float("inf"))
     ok = items.where(finite("score") & finite("token_cost") & (F.col("token_cost") >= 0))
     density = F.when(F.col("token_cost") == 0, float("inf")).otherwise(F.col("score") / F.col("token_cost"))
-    row = F.struct((-density).alias("d"), (-F.col("score")).alias("s"), F.col("token_cost").cast("double").alias("c"), F.col("id").alias("id"))
-    pools = ok.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    kind = "struct<used:double,out:array<struct<id:string,place:int,included:boolean>>>"
-
-    def step(acc: Column, x: Column) -> Column:
-        fits = F.when(x["c"] == 0, F.lit(pin_free)).otherwise(acc["used"] + x["c"] <= budget)
-        entry = F.struct(x["id"].cast("string").alias("id"), (F.size(acc["out"]) + 1).alias("place"), fits.alias("included"))
-        return F.struct((acc["used"] + F.when(fits, x["c"]).otherwise(0.0)).alias("used"), F.concat(acc["out"], F.array(entry)).alias("out")).cast(kind)
-
-    start = F.struct(F.lit(0.0).alias("used"), F.array().alias("out")).cast(kind)
-    placed = pools.select(*keys, F.explode(F.aggregate("rows", start, step, lambda a: a["out"])).alias("e")).select(*keys, "e.*")
-    return ok.withColumn("id", F.col("id").cast("string")).withColumn("density", density).join(placed, [*keys, "id"])
+    order = [F.col("density").desc(), F.col("score").desc(), F.col("token_cost").cast("double"), F.col("id")]
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    others = [c for c in items.columns if c not in (*keys, "id")]
+    placed = ok.withColumn("density", density).withColumn("place", place).withColumn("_cost", F.col("token_cost").cast("double"))
+    placed = placed.select(*keys, F.col("id").cast("string").alias("id"), *others, "density", "place", "_cost")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used = 0.0  # of the pool that the last row was in: pools follow one another, each by place
+        for batch in batches:
+            fits = []
+            for n, cost in zip(batch.column("place").to_pylist(), batch.column("_cost").to_pylist()):
+                if n == 1:
+                    used = 0.0
+                fit = pin_free if cost == 0 else used + cost <= budget
+                if fit:
+                    used += cost
+                fits.append(fit)
+            kept = batch.drop_columns(["_cost"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(fits, pa.bool_())], names=[*kept.schema.names, "included"])
+
+    return placed.mapInArrow(fold, StructType([*placed.drop("_cost").schema.fields, StructField("included", BooleanType())]))
 
 
 def prefix_pack(items: DataFrame, budget: float, keys: tuple[str, ...] = ("pool",), order: tuple[str, ...] = ("place",)) -> DataFrame:
