@@ -2,8 +2,9 @@
 
 
 from graphs import graph
+from pyspark.sql import functions as F
 
-from quillgraph.operators import analyze, budget, centrality, community, metrics
+from quillgraph.operators import analyze, budget, centrality, community, federation, metrics
 from quillgraph.operators.graph import EDGE_COLUMNS, NODE_COLUMNS, PropertyGraph, conformed
 from quillgraph.plans import staging
 
@@ -75,3 +76,12 @@ def test_knapsack_places_each_item_once(spark):
     assert got.columns == ["pool", "id", "score", "token_cost", "density", "place", "included"]
     assert sorted((r.id, r.place, r.included) for r in got.where("pool <> 'r'").collect()) == [("x", 1, True), ("x", 1, True), ("x", 2, True), ("y", 3, False)]
     assert got.where("pool = 'r' and included").count() == 30000
+
+
+def test_a_common_label_is_paired_by_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(federation, "NODES_PER_TASK", 5, raising=False)
+    nodes = [(r, f"{r}:{i}", "Same" if i else "only", i) for r in (2, 0, 1) for i in range(31)] + [(0, "0:x", "alone", 99)]
+    got = federation.shared_labels(spark.createDataFrame(nodes, "repo int, id string, label string, ord long"))
+    assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 5
+    pairs = [(a[1], b[1]) for a in nodes for b in nodes if a[2].lower() == b[2].lower() and a[0] < b[0]]
+    assert sorted(map(tuple, got.collect())) == sorted(pairs)
