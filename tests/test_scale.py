@@ -85,3 +85,45 @@ def test_a_common_label_is_paired_by_several_tasks(spark, monkeypatch):
     assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 5
     pairs = [(a[1], b[1]) for a in nodes for b in nodes if a[2].lower() == b[2].lower() and a[0] < b[0]]
     assert sorted(map(tuple, got.collect())) == sorted(pairs)
+
+
+HOME = {f"n{i:02}": i % 3 for i in range(58)}  # n58 and n59 are in none
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ends_are_judged_before_edges_are_multiplied(spark):
+    g = graph(spark, EDGES, communities=HOME)
+    member = metrics.membership_of(g)
+    audit, inner = metrics.confidence_audit(g, member), metrics.cohesion(g, member)
+    plan = plan_of(audit)
+    assert plan.index("Generate") < plan.index("Join")  # a row per edge is joined, not one per end
+    plan = plan_of(inner)
+    assert plan.index("hashpartitioning(u#") < plan.index("hashpartitioning(dst#")  # only pairs inside are made distinct
+    once = set(EDGES)
+    assert {r.community: r.extracted for r in audit.collect()} == {c: sum(c in (HOME.get(a), HOME.get(b)) for a, b in once) for c in range(3)}
+    pairs = {(min(e), max(e)) for e in once}
+    assert {r.community: r.edges for r in inner.collect()} == {c: sum(HOME.get(a) == HOME.get(b) == c for a, b in pairs) for c in range(3)}
+
+
+def test_details_count_loops_and_reverse_edges_once(spark):
+    g = graph(spark, EDGES, communities=HOME)
+    got = {r.community: (r.edge_count, r.entry_points, r.bridge_nodes, r.most_outside) for r in metrics.community_details(g, metrics.membership_of(g)).collect()}
+    pairs = {(min(e), max(e)) for e in EDGES}
+    near = {(a, b) for x, y in pairs for a, b in ((x, y), (y, x))}
+    for c in range(3):
+        outside = {n: [HOME.get(b) for a, b in near if a == n and HOME.get(b) != c] for n in HOME if HOME[n] == c}
+        some = [o for o in outside.values() if o]
+        assert got[c] == (sum(HOME.get(a) == HOME.get(b) == c for a, b in pairs), len(some), sum(len(set(o) - {None}) >= 2 for o in some), max(map(len, some), default=0))
+
+
+def test_a_graph_too_large_for_betweenness_is_not_written(spark, monkeypatch):
+    g = graph(spark, EDGES, communities=HOME)
+    monkeypatch.setattr(centrality, "MOST_NODES", 10)
+    monkeypatch.setattr(PropertyGraph, "staged", lambda self: 1 / 0)
+    got = analyze.bridges(g, metrics.membership_of(g), None).collect()
+    near = {(a, b) for x, y in EDGES for a, b in ((x, y), (y, x))}
+    want = {n: (sorted({HOME[b] for a, b in near if a == n and b in HOME} - {HOME.get(n)}), sum(a == n for a, b in near)) for n in {a for a, _ in near}}
+    assert {r.id: (r.connected, r.degree) for r in got} == {n: w for n, w in want.items() if w[0] and not (n in HOME and len(w[0]) == 1 and w[1] <= 1)}
